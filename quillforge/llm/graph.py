@@ -1,0 +1,29 @@
+"""Connected components of verified links, as DataFrame joins with staged rounds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillforge.llm.shared import stage
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, label) for every end of ``links`` (a, b): label is the smallest node it reaches.
+
+    Minimum-label propagation with pointer jumping. Aggregations combine map-side and joins are
+    equi-joins whose large partitions AQE may split, so a node with very many links is no one
+    task's work. Nothing but a count of changes reaches the driver.
+    """
+    both = links.select("a", "b").where(F.col("a") != F.col("b"))
+    both = stage(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    while True:
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("n")).agg(F.min("label").alias("m"))
+        step = labels.join(near, F.col("node") == F.col("n"), "left").select("node", "label", F.least("label", F.coalesce("m", "label")).alias("to"))
+        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("far"))
+        step = step.join(jump, F.col("to") == F.col("at"), "left").select("node", F.col("label").alias("was"), F.least("to", F.coalesce("far", "to")).alias("label"))
+        step = stage(step, "labels")
+        labels = step.select("node", "label")
+        if step.where("label <> was").limit(1).count() == 0:
+            return labels
