@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillforge.llm import neardup
+from quillforge.llm import bpe, decontaminate, neardup, tokencount
 from quillforge.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +18,25 @@ def op1_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op4_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
+def op7_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache starts empty, so every distinct text is encoded."""
+    counts = tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+QUERIES = (op1_minhash_odd_sketch, op2_suffix_automaton, op4_bpe_transducer, op7_digest_cache)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash_odd_sketch,)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
