@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillforge.llm import bpe, decontaminate, neardup, tokencount
+from quillforge.llm import bpe, decontaminate, neardup, pii, tokencount
 from quillforge.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +32,11 @@ def op7_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
-QUERIES = (op1_minhash_odd_sketch, op2_suffix_automaton, op4_bpe_transducer, op7_digest_cache)
+def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
+QUERIES = (op1_minhash_odd_sketch, op2_suffix_automaton, op4_bpe_transducer, op7_digest_cache, op8_weak_supervision)
 
 
 def queries() -> dict[str, Query]:
