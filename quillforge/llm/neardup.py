@@ -1,16 +1,17 @@
 """MinHash near-duplicate linking with odd sketches.
 
-Method: every document's distinct word shingles give MINHASHES MinHash samples. Bands of samples
-bring candidate pairs together; all samples are also folded into an odd sketch (a parity bitmap: each
-sample flips one bit), whose XOR population count estimates the similarity of a candidate pair.
-Pairs far below the threshold by that estimate go; the others are confirmed on their full shingle
-sets, recomputed from the texts.
+Method: bands of MinHash samples of every document's distinct word shingles bring candidate pairs
+together. The document's bottom-SAMPLE MinHash sample (the whole set, for most) is folded into an odd
+sketch, a parity bitmap in which each sampled hash flips one bit. The XOR population count of two
+sketches estimates how many samples differ and never exceeds it, so a pair that differs in more bits
+than the threshold allows is no link; the others are confirmed on their full shingle sets,
+recomputed from the texts. Of sets beyond SAMPLE the allowance adds five standard deviations.
 
 Scale: documents with equal sets are one node. In each band bucket every node is paired with one
 pivot, chosen anew in each bucket, so a bucket of n nodes gives n - 1 pairs; confirmed links form
-components. Only nodes of one bucket whose components still differ are then paired with each
-other, with the size bound and the sketch inside the join, so no pair of different sets goes
-untried unless the chain already connects it.
+components. Only nodes of one bucket whose components still differ are then compared with each
+other, size bound and sketch inside the join, so that hardly more than the links between
+components leave it, and no pair of different sets goes untried unless the chain already connects it.
 
 Cases: null, empty or blank texts have no shingles, are linked with nothing and are kept; a text
 of fewer words than a shingle is one shingle; rows that repeat a doc_id count as one document;
@@ -34,18 +35,17 @@ from quillforge.llm.shared import bound_arrow, stage
 WIDTH = 5
 ROWS = 5
 BANDS = 25
-MINHASHES = 128
-#: Bits of an odd sketch; four longs.
-SKETCH = 256
-#: A candidate goes unverified when its estimate is this far below the threshold: over five standard
-#: deviations of the estimate (0.03 of 128 samples, 0.02 of the folding) at the threshold.
-MARGIN = 0.2
+MINHASHES = ROWS * BANDS
+#: Hashes of a bottom-k sample, and bits of the odd sketch that they are folded into.
+SAMPLE = 1024
+SKETCH = 1024
+WORDS = [f"s{i}" for i in range(SKETCH // 64)]
 
 _rng = np.random.default_rng(7)
 _FACTORS = (_rng.integers(1, 1 << 31, MINHASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _SHIFTS = _rng.integers(0, 1 << 32, MINHASHES, dtype=np.uint32)
 
-SIGNED = "doc_id long, n_shingles long, d0 long, d1 long, s0 long, s1 long, s2 long, s3 long, bands array<long>"
+SIGNED = f"doc_id long, n_shingles long, d0 long, d1 long, {', '.join(f'{w} long' for w in WORDS)}, bands array<long>"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
@@ -76,12 +76,13 @@ def minhashes(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """SKETCH parity bits of each row of samples, as four 64-bit words."""
-    rows, k = samples.shape
-    bits = (K.mix(samples.astype(np.uint64) + (np.arange(k, dtype=np.uint64) << np.uint64(32))) >> np.uint64(56)).astype(np.int64)
-    flips = np.bincount((np.arange(rows)[:, None] * SKETCH + bits).ravel(), minlength=rows * SKETCH) & 1
-    return np.packbits(flips.reshape(rows, SKETCH).astype(np.uint8), axis=1).view(np.uint64)
+def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity bits of each sorted set's SAMPLE smallest hashes, as 64-bit words."""
+    samples = [own[:SAMPLE] for own in sets]
+    bits = (np.concatenate(samples) % np.uint64(SKETCH)).astype(np.int64)
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in samples])
+    flips = np.bincount(rows * SKETCH + bits, minlength=len(sets) * SKETCH) & 1
+    return np.packbits(flips.reshape(len(sets), SKETCH).astype(np.uint8), axis=1).view(np.uint64)
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
@@ -103,13 +104,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
             digests = np.zeros((n, 2), np.int64)
-            sketch = np.zeros((n, 4), np.int64)
-            bands: list = [[]] * n
+            sketch = np.zeros((n, len(WORDS)), np.int64)
             if len(full):
                 own = [sets[r] for r in full]
                 digests[full] = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in own]
                 samples = minhashes(own)
-                sketch[full] = odd_sketches(samples).view(np.int64)
+                sketch[full] = odd_sketches(own).view(np.int64)
                 flat = band_keys(samples).view(np.int64)
                 values = pa.array(flat.ravel())
             else:
@@ -117,8 +117,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lengths = np.where(sizes > 0, BANDS, 0)
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), values)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(first, n).cast(pa.int64()), pa.array(sizes), *(pa.array(np.ascontiguousarray(digests[:, i])) for i in range(2)), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(4)), bands],
-                names=["doc_id", "n_shingles", "d0", "d1", "s0", "s1", "s2", "s3", "bands"],
+                [batch.column("doc_id").slice(first, n).cast(pa.int64()), pa.array(sizes), *(pa.array(np.ascontiguousarray(digests[:, i])) for i in range(2)), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(len(WORDS))), bands],
+                names=["doc_id", "n_shingles", "d0", "d1", *WORDS, "bands"],
             )
 
 
@@ -150,14 +150,20 @@ def _verify(percent: int):  # noqa: ANN202
     return run
 
 
-def _estimate_at_least(least: float) -> str:
-    """SQL condition on sketches of x and y: the odd-sketch estimate is ``least`` or more.
+def _may_link(percent: int) -> str:
+    """SQL condition on nodes x and y: their sizes and sketches allow a link.
 
-    Estimate: 1 + n / (4 k) * ln(1 - 2 d / n), for d differing bits of n after k samples; a d of
-    half of n or more says nothing but that the similarity is low.
+    Linked sets of n and m differ in c * (n + m) elements at most, c = (1 - p) / (1 + p). Samples that
+    are whole sets differ in no more; one that lacks elements adds as many at most. Two proper samples
+    share about SAMPLE * f of them, f = p / (1 + p) * (1 + small / large).
     """
-    most = SKETCH / 2 * (1 - np.exp((least - 1) * 4 * MINHASHES / SKETCH))
-    return " + ".join(f"bit_count(x.s{i} ^ y.s{i})" for i in range(4)) + f" <= {most:.3f}"
+    p = percent / 100
+    differ = f"{(1 - p) / (1 + p)!r} * (x.n_shingles + y.n_shingles) + greatest(x.n_shingles - {SAMPLE}, 0) + greatest(y.n_shingles - {SAMPLE}, 0)"
+    f = f"({p / (1 + p)!r} * (1 + least(x.n_shingles, y.n_shingles) / greatest(x.n_shingles, y.n_shingles)))"
+    sampled = f"2 * {SAMPLE} * (1 - {f}) + 10 * sqrt({SAMPLE} * {f} * greatest(1 - {f}, 0.01))"
+    most = f"case when least(x.n_shingles, y.n_shingles) > {SAMPLE} then {sampled} else {differ} end"
+    bits = " + ".join(f"bit_count(x.{w} ^ y.{w})" for w in WORDS)
+    return f"100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles) and ({bits}) <= 1e-6 + {most}"
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -178,13 +184,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     full = signed.where("n_shingles > 0 and doc_id is not null")
     groups = full.groupBy("d0", "d1").agg(F.min("doc_id").alias("node"))
     groups = stage(groups, "groups")
-    nodes = full.join(groups.select(F.col("node").alias("doc_id"), F.col("d0").alias("g0"), F.col("d1").alias("g1")), "doc_id").where("d0 = g0 and d1 = g1").select(F.col("doc_id").alias("node"), "n_shingles", "s0", "s1", "s2", "s3", "bands").dropDuplicates(["node", "n_shingles", "s0", "s1", "s2", "s3"])
+    nodes = full.join(groups.select(F.col("node").alias("doc_id"), F.col("d0").alias("g0"), F.col("d1").alias("g1")), "doc_id").where("d0 = g0 and d1 = g1").select(F.col("doc_id").alias("node"), "n_shingles", *WORDS, "bands").dropDuplicates(["node", "n_shingles", *WORDS])
     entries = nodes.select("node", F.explode("bands").alias("key"))
     pivots = entries.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("m")).where("n > 1").select("key", "n", F.col("m").bitwiseXOR(F.col("key")).alias("pivot"))
     entries = stage(entries.join(pivots, "key"), "buckets")
 
     sizes = stage(nodes.drop("bands"), "nodes")
-    sized = f"(100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)) and ({_estimate_at_least(percent / 100 - MARGIN)})"
+    sized = _may_link(percent)
     pairs = entries.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     tried = stage(pairs.join(sizes.alias("x"), F.col("a") == F.col("x.node")).join(sizes.alias("y"), F.col("b") == F.col("y.node")).where(sized).select("a", "b"), "pairs")
     plain = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
