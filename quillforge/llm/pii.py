@@ -166,7 +166,9 @@ def train(docs: DataFrame) -> dict[str, float]:
     """Weights of the final classifier: log-odds of each feature value, and '' for the prior."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(text.alias("text")).where(F.col("text").rlike("[0-9]"))
-    own = own.select(F.explode(candidates(F.col("text"), base_spans(F.col("text")))).alias("s"))
+    own = own.withColumn("base", base_spans(F.col("text")))
+    # A second use of base keeps the optimiser from putting its patterns inside the candidates' loop.
+    own = own.select(F.explode(F.when(F.size("base") >= 0, candidates(F.col("text"), F.col("base")))).alias("s"))
     counts = stage(own.select(votes(F.col("s")).alias("v"), features(F.col("s")).alias("f")).groupBy("v", "f").agg(F.count("*").alias("n")), "votes")
     soft = counts.join(_em(counts.groupBy("v").agg(F.sum("n").alias("n"))), "v")
     sums = soft.select(F.explode(F.concat("f", F.array(F.lit("")))).alias("f"), (F.col("n") * F.col("p")).alias("yes"), (F.col("n") * (1 - F.col("p"))).alias("no")).groupBy("f").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))

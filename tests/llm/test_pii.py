@@ -1,0 +1,69 @@
+"""Base spans against plain patterns; what the classifier adds; redaction."""
+
+import hashlib
+import re
+
+from quillforge.llm import pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def brute(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text or "", re.ASCII):
+            digits = re.sub("[^0-9]", "", m[0])
+            if {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else 0, "card": 13 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+ODD = [
+    None,
+    "",
+    "a@b.c_x@d.e a@b.c@d.e @x.y -a.b+c%d@e-f.g.h. ünï@köln.de x@y é a@b..c",
+    "1.2.3.4.5.6.7.8 256.1.1.1 1.2.3 0001.002.03.4 999.1.2.3.4 12.13.14.15.",
+    "4111 1111 1111 1111 4111-1111-1111-1112 5500000000000004 1 2 3 4111  1111 1111 1111",
+    "+1 (308) 555-3711 +49 30 1234567-. +1-2 ++12 345 678 90 +1 (308) 555-3711 4111 1111 1111 1111",
+    "😀 mail: gga.32@mail2.example.com ß 4802894133377406, 55.231.167.27!",
+    "9" * 30_000 + " " + "x" * 30_000 + "@" + " 1" * 3000 + ".1" * 5000,
+]
+
+
+def test_base_spans(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-i, t) for i, t in enumerate(ODD, 1)], "doc_id long, text string"))
+    got = {r.doc_id: r for r in pii.digest(pii.find(docs)).collect()}
+    kinds = set()
+    for doc, text in ((r.doc_id, r.text) for r in docs.collect()):
+        want, r = brute(text), got[doc]
+        kinds |= {k for k, _, _ in want}
+        names = [f"{k}:{a}:{b}" for k, a, b in want]
+        assert r.base_sha256 == hashlib.sha256(",".join(names).encode()).hexdigest(), (doc, want)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, _, _ in want) for x in PATTERNS]
+        assert r.spans.split(",")[: len(names)] == names or not names
+    assert kinds == set(PATTERNS)
+
+
+def test_added_spans_and_redaction(spark):
+    words = [f"plain words {i} and page {i} of {i + 2}." for i in range(300)]
+    secrets = [f"the password=e3b0c442{i:04d}ab and key AKIAY7KWFSDHQYY{i:04d}X then" for i in range(60)]
+    rows = [(i, t, "s") for i, t in enumerate(words + secrets)] + [(1000, None, "s"), (1001, "", "s"), (1002, "write a.b@c.de or 1.2.3.4", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert all(got[i] == t for i, t in enumerate(words))
+    assert all(got[300 + i] == "the [SECRET] and key [SECRET] then" for i in range(60))
+    assert got[1000] is None and got[1001] == "" and got[1002] == "write [EMAIL] or [IP]"
+    assert pii.redact(docs.limit(0)).count() == 0
