@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillforge.llm import bpe, decontaminate, neardup, pii, tokencount
+from quillforge.llm import bpe, decontaminate, langid, lm, neardup, pii, quality, tokencount
 from quillforge.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,10 +22,21 @@ def op2_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op3_bitmask_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    found = langid.predict(docs, langid.fit(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cache starts empty, so every distinct text is encoded."""
     counts = tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -36,7 +47,11 @@ def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
-QUERIES = (op1_minhash_odd_sketch, op2_suffix_automaton, op4_bpe_transducer, op7_digest_cache, op8_weak_supervision)
+def op9_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_minhash_odd_sketch, op2_suffix_automaton, op3_bitmask_filters, op4_bpe_transducer, op5_importance_resampling, op7_digest_cache, op8_weak_supervision, op9_log_bilinear)
 
 
 def queries() -> dict[str, Query]:
