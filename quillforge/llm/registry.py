@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillforge.llm import bpe, decontaminate, langid, lm, neardup, pii, quality, tokencount
+from quillforge.llm import bpe, decontaminate, langid, lm, media, neardup, pii, quality, tokencount, warc
 from quillforge.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_not_modified_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.resolve(warc.page_captures(table(spark, sf_dir, "pages"))))
+
+
 def op7_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cache starts empty, so every distinct text is encoded."""
     counts = tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -51,7 +55,11 @@ def op9_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_minhash_odd_sketch, op2_suffix_automaton, op3_bitmask_filters, op4_bpe_transducer, op5_importance_resampling, op7_digest_cache, op8_weak_supervision, op9_log_bilinear)
+def op10_media_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_features(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_minhash_odd_sketch, op2_suffix_automaton, op3_bitmask_filters, op4_bpe_transducer, op5_importance_resampling, op6_not_modified_revisits, op7_digest_cache, op8_weak_supervision, op9_log_bilinear, op10_media_archives)
 
 
 def queries() -> dict[str, Query]:
@@ -59,4 +67,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_not_modified_revisits": warc.ORACLE}

@@ -6,8 +6,10 @@ share, so a lost executor never loses them and lineage is cut without a local ch
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,7 +54,13 @@ def drop_staged(spark: SparkSession) -> None:
 
 
 def bound_arrow(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keep Arrow batches small enough for long texts; a smaller setting of the session stays."""
+    """Keep Arrow batches small enough for long texts; a smaller setting of the session stays.
+
+    Workers that start from now on also find this package where the driver does.
+    """
+    root, paths = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(p for p in (root, paths) if p)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
