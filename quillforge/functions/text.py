@@ -11,6 +11,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Identifier and progress patterns, word lists and prices that results depend on.
 ARXIV_URL = r"(?i)arxiv\.org/(?:abs|pdf)/([a-z\-]+/\d{7}|\d{4}\.\d{4,5})(?:v\d+)?"
@@ -128,7 +129,7 @@ def default_label(low: Column, high: Column, n: Column, cluster: Column) -> Colu
     return F.when(low.isNotNull(), F.format_string("%d–%d sense (%d papers)", low, high, n)).otherwise(F.concat(F.lit("cluster "), cluster.cast("string")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ascii_key(text: pd.Series) -> pd.Series:
     """compatibility-decomposed, ASCII letters and digits only, lower-cased."""
     plain = text.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")

@@ -1,6 +1,6 @@
 """Queries over the stand-in tables; importing this package fills the catalogue."""
 
-from quillforge.plans import selection
+from quillforge.plans import selection, states, texts
 from quillforge.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "selection"]
+__all__ = ["ORACLES", "QUERIES", "selection", "states", "texts"]
