@@ -237,7 +237,7 @@ def relative_age(seconds: Column) -> Column:
 
 def percent(current: Column, total: Column) -> Column:
     """100 at most; null without a total."""
-    return F.least(F.lit(100.0), F.try_divide(current * F.lit(100.0), total))
+    return F.when(total != 0, F.least(F.lit(100.0), F.try_divide(current * F.lit(100.0), total)))
 
 
 def strip_version(paper: Column) -> Column:

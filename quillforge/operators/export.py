@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillforge.functions.text import tex_escape
-from quillforge.schemas import EXPORT
+from quillforge.schemas import EXPORT, EXPORTED_EDGE
 
 
 def cite_keys(rows: DataFrame, base: str, order: list[str]) -> DataFrame:
@@ -45,7 +45,7 @@ def assemble(genealogy: DataFrame, edges: DataFrame) -> DataFrame:
     packed = F.struct("id", F.struct(*(F.col(c).cast("double").alias(c) if c == "confidence" else F.col(c) for c in columns)).alias("e"))
     own = edges.groupBy(F.col("genealogy_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(packed)), lambda x: x["e"]).alias("edges"), F.count("*").alias("n"), F.count_if("verified").alias("v"))
     joined = genealogy.join(own, "id", "left")
-    empty = F.expr(f"cast(array() as {EXPORT['edges'].dataType.simpleString()})")
+    empty = F.expr(f"cast(array() as array<{EXPORTED_EDGE}>)")
     n, v = F.coalesce("n", F.lit(0)), F.coalesce("v", F.lit(0))
     stats = F.struct(F.size("nodes").cast("long").alias("nodes"), n.alias("edges"), v.alias("verified_edges"), (n - v).alias("inferred_edges"))
     return joined.select("concept", "prompt_version", "nodes", F.coalesce("edges", empty).alias("edges"), stats.alias("stats"))
