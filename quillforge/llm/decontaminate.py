@@ -327,3 +327,20 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
+
+
+#: The contract in SQL, over all windows of whole texts.
+ORACLE = r"""
+with recursive dw as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+iw as (select cast(item_id as varchar) as item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+iwin as (select distinct item_id, least(len(ws), 10) as n, array_to_string(ws[i : i + least(len(ws), 10) - 1], ' ') as win
+  from (select item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) as i from iw where len(ws) > 0)),
+sizes as (select distinct n from iwin),
+dwin as (select doc_id, n, i, array_to_string(ws[i : i + n - 1], ' ') as win
+  from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as i from dw, sizes where len(ws) >= n)),
+hits as (select doc_id, d.n, i, item_id from dwin d join iwin w on w.n = d.n and w.win = d.win),
+covered as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by 1),
+named as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as names from hits group by 1)
+select dw.doc_id, len(ws)::BIGINT as n_words, coalesce(n_hit, 0)::BIGINT as n_hit, coalesce(n_items, 0)::BIGINT as n_items, sha256(coalesce(names, '')) as items_sha256, n_hit is not null as contaminated
+from dw left join covered using (doc_id) left join named using (doc_id)
+"""

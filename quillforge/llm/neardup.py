@@ -217,3 +217,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         )
     found = groups.join(labels, "node", "left").select("d0", "d1", F.coalesce("label", "node").alias("label"))
     return signed.join(found, ["d0", "d1"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("label"))).otherwise(F.col("doc_id")).alias("component_id")).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+#: The contract in SQL, over all pairs of whole texts.
+ORACLE = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, array_to_string(ws[i : i + 4], ' ') as g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i from w where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+ways as (select a, b from links union select b, a from links),
+reach as (select a as node, b as other from ways union select r.node, v.b from reach r join ways v on v.a = r.other),
+low as (select node, min(other) as o from reach group by 1)
+select w.doc_id, coalesce(n.n, 0)::BIGINT as n_shingles, least(w.doc_id, coalesce(o, w.doc_id))::BIGINT as component_id, least(w.doc_id, coalesce(o, w.doc_id)) = w.doc_id as kept
+from w left join n using (doc_id) left join low on low.node = w.doc_id
+"""

@@ -67,4 +67,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_not_modified_revisits": warc.ORACLE}
+    return {"op1_minhash_odd_sketch": neardup.ORACLE, "op2_suffix_automaton": decontaminate.ORACLE, "op6_not_modified_revisits": warc.ORACLE}
