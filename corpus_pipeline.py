@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from quillforge.llm import bpe, decontaminate, neardup, pii, quality
 from quillforge.llm.shared import stage, table
 
+#: Percent of shared five-word shingles from which documents are near-duplicates.
+SIMILAR = 80
+
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the importance-resampled sample; what the classifier rejects goes."""
@@ -20,11 +23,11 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group.
+    """The document with the smallest doc_id of each group of documents whose shingles are alike by SIMILAR.
 
     Rows that repeat a kept doc_id are one document and stay together.
     """
-    kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = neardup.near_duplicates(docs, SIMILAR).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left").where("_kept is not null or doc_id is null").drop("_kept")
 
 

@@ -34,7 +34,7 @@ from quillforge.llm.shared import bound_arrow, stage
 
 WIDTH = 5
 ROWS = 5
-BANDS = 25
+BANDS = 30
 MINHASHES = ROWS * BANDS
 #: Hashes of a bottom-k sample, and bits of the odd sketch that they are folded into.
 SAMPLE = 1024
