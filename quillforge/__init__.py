@@ -1 +1 @@
-"""Concept-lineage analytics on Spark: declarative DataFrame operators over a document corpus."""
+"""Concept-evolution analytics on Spark: declarative DataFrame operators over a document corpus."""
