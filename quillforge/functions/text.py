@@ -269,3 +269,9 @@ def strip_html(html: Column) -> Column:
 def latex_to_text(latex: Column) -> Column:
     """commands with their arguments removed, then ``normalize``."""
     return normalize(F.regexp_replace(latex, r"\\[a-zA-Z]+\*?(\[[^\]]*\])?(\{[^}]*\})?", " "))
+
+
+def prompt(concept: Column, text: Column, gloss: Column, limit: int = 40_000) -> Column:
+    """The question for an extractor; the sense is there only with a gloss."""
+    sense = F.when(gloss != "", F.concat(F.lit(", meant as: "), gloss)).otherwise("")
+    return F.concat(F.lit("What does the following text say about "), concept, sense, F.lit("?\n\n"), F.substring(text, 1, limit))

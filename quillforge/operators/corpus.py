@@ -32,3 +32,20 @@ def rank(pool: DataFrame, limit: int = 150) -> DataFrame:
     scored = pool.select("id", "seed", "refs", "cites", F.round(citation_score(F.col("refs"), F.col("cites")), 6).alias("score"))
     top = scored.orderBy(F.desc("score"), "id").limit(limit)
     return top.select(F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("long").alias("rnk"), "id", "seed", "refs", "cites", "score")
+
+
+def cited_references(papers: DataFrame) -> DataFrame:
+    """(citing, cited, contexts, intents, influential) of papers (citing, refs).
+
+    References without an id go; contexts are the first four that aren't blank. Repeats stay.
+    """
+    own = papers.select("citing", F.explode("refs").alias("r"))
+    contexts = F.slice(F.filter(F.coalesce("r.contexts", F.expr("cast(array() as array<string>)")), lambda c: F.trim(c) != ""), 1, 4)
+    cited = F.col("r.citedPaper.externalIds.ArXiv")
+    return own.where(cited.isNotNull()).select("citing", cited.alias("cited"), contexts.alias("contexts"), F.col("r.intents").alias("intents"), F.col("r.isInfluential").alias("influential"))
+
+
+def or_default(rows: DataFrame, default: DataFrame) -> DataFrame:
+    """``rows``, or ``default`` where there are none."""
+    some = rows.limit(1).select(F.lit(1).alias("_one"))
+    return rows.unionByName(default.withColumn("_one", F.lit(1)).join(some, "_one", "left_anti").drop("_one"))

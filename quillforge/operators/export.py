@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillforge.functions.text import tex_escape
+from quillforge.functions.text import tex_escape, year_span
 from quillforge.schemas import EXPORT, EXPORTED_EDGE
 
 
@@ -68,3 +68,29 @@ def restore(texts: DataFrame, papers: DataFrame) -> DataFrame:
         missing = F.col(f"{side}_paper").isNotNull() & F.col(f"{side}_paper_id").isNull()
         rows = rows.withColumn(f"{side}_paper_id", F.when(missing, F.raise_error(F.concat(F.lit("no paper "), F.col(f"{side}_paper")))).otherwise(F.col(f"{side}_paper_id")))
     return rows
+
+
+def markdown(nodes: DataFrame, edges: DataFrame, keys: DataFrame) -> DataFrame:
+    """K9: (section, pos, line) of a Markdown outline; write the lines in that order.
+
+    Section 1 has a numbered heading and the citations of each node (by first year, unknown last),
+    section 2 the relationships by type and year of the cited paper, section 3 the nodes without any.
+    nodes: schemas.NODE's fields. edges: source_node, target_node, edge_type, confidence, verified,
+    source_paper, target_paper. keys: paper, key, year. A paper without a key is left out.
+    """
+    cite = lambda c: F.concat(F.lit("\\cite{"), c, F.lit("}"))
+    order = Window.orderBy(F.asc_nulls_last("year_start"), "node_id")  # over the nodes of one outline
+    member = nodes.select("node_id", F.posexplode_outer("members").alias("at", "m")).join(keys.select(F.col("paper").alias("_p"), "key"), F.col("m.arxiv_id") == F.col("_p"), "left")
+    cited = member.groupBy("node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", cite(F.col("key")).alias("c")))), lambda x: x["c"]), ", ").alias("cites"))
+    span = F.coalesce(year_span(F.col("year_start"), F.col("year_end")), F.lit("undated"))
+    numbered = nodes.select("node_id", "label", "year_start", span.alias("span"), F.row_number().over(order).cast("long").alias("n")).join(cited, "node_id")
+    first = numbered.select(F.lit(1).alias("section"), F.col("n").alias("pos"), F.concat_ws("\n", F.format_string("## %d. %s (%s)", F.col("n"), F.col("label"), F.col("span")), F.nullif("cites", F.lit(""))).alias("line"))
+    label = nodes.select("node_id", "label")
+    named = edges.join(label.toDF("source_node", "s"), "source_node").join(label.toDF("target_node", "t"), "target_node")
+    named = named.join(keys.toDF("source_paper", "sk", "sy"), "source_paper").join(keys.select(F.col("paper").alias("target_paper"), F.col("key").alias("tk")), "target_paper")
+    mark = F.when(F.col("verified"), "verified").otherwise("inferred")
+    line = F.format_string("- %s: %s to %s, *%s* to *%s* (%.2f, %s)", "edge_type", cite(F.col("sk")), cite(F.col("tk")), "s", "t", F.col("confidence").cast("double"), mark)
+    second = named.select(F.lit(2).alias("section"), F.row_number().over(Window.orderBy("edge_type", F.coalesce("sy", F.lit(0)), "sk", "tk")).cast("long").alias("pos"), line.alias("line"))
+    touched = edges.select(F.explode(F.array("source_node", "target_node")).alias("node_id")).distinct()
+    third = numbered.join(touched, "node_id", "left_anti").select(F.lit(3).alias("section"), F.col("n").alias("pos"), F.concat(F.lit("- not connected: "), "label").alias("line"))
+    return first.unionByName(second).unionByName(third)

@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from quillforge.functions import text as X
 from quillforge.operators import corpus, curation, export, extract, graph, grounding, running, state, vectors
 from quillforge.schemas import EDGES, NODE
 from quillforge.sources import papers
@@ -201,3 +202,29 @@ def test_feed(spark):
     feed = "<feed><entry><id>http://arxiv.org/abs/1706.03762v5</id><author><name>A B</name></author><author><name>C</name></author></entry><entry><id>http://arxiv.org/abs/cs/0701907v1</id><author><name>D</name></author></entry></feed>"
     rows = spark.createDataFrame([(feed,)], "f string").select(F.explode(papers.entries_of_feed(F.col("f"))).alias("e")).select("e.*").collect()
     assert [(r.id, r.names) for r in rows] == [("1706.03762", ["A B", "C"]), ("cs/0701907", ["D"])]
+
+
+def test_outline(spark):
+    nodes, edges = nodes_and_edges(spark)
+    keys = spark.createDataFrame([("a", "ka", 2001), ("b", "kb", None), ("c", "kc", 1999), ("d", "kd", 2000)], "paper string, key string, year int")
+    named = edges.where("id = 1").withColumn("source_paper", F.lit("a")).withColumn("target_paper", F.lit("c"))
+    lines = [r.line for r in export.markdown(nodes, named, keys).orderBy("section", "pos").collect()]
+    assert lines == [
+        "## 1. two (1999)\n\\cite{kc}",
+        "## 2. one (2000–2001)\n\\cite{ka}, \\cite{kb}",
+        "## 3. three (undated)\n\\cite{kd}",
+        "- extends: \\cite{ka} to \\cite{kc}, *one* to *two* (0.50, verified)",
+        "- not connected: three",
+    ]
+
+
+def test_references_and_defaults(spark):
+    kind = "citing string, refs array<struct<citedPaper: struct<externalIds: struct<ArXiv: string>>, contexts: array<string>, intents: array<string>, isInfluential: boolean>>"
+    rows = [("a", [((("b",),), ["", "1", " ", "2", "3", "4", "5"], ["x"], True), (((None,),), ["1"], None, None), ((None,), None, None, None), ((("b",),), None, None, False)]), ("c", None)]
+    got = [(r.citing, r.cited, r.contexts, r.influential) for r in corpus.cited_references(spark.createDataFrame(rows, kind)).collect()]
+    assert got == [("a", "b", ["1", "2", "3", "4"], True), ("a", "b", [], False)]
+    some, other = (spark.createDataFrame([(x,)], "k string") for x in "ab")
+    assert [r.k for r in corpus.or_default(some, other).collect()] == ["a"]
+    assert [r.k for r in corpus.or_default(some.limit(0), other).collect()] == ["b"]
+    text = spark.range(1).select(X.prompt(F.lit("nets"), F.lit("abc"), F.lit(""), 2).alias("p")).first().p
+    assert text == "What does the following text say about nets?\n\nab"
