@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from quillforge.llm import kernels as K
 from quillforge.llm.shared import bound_arrow
 
-STATES = 200_000
+STATES = 300_000
 PAIRS = 400_000
-PIECES = 250_000
+PIECES = 150_000
 #: Pieces of more characters are not kept.
 PIECE_CHARS = 40
 
@@ -199,16 +199,20 @@ class Transducer:
 
 
 class _Pieces(dict):
-    """Ids of the pieces seen, filled by the transducer."""
+    """Ids of the pieces seen, filled by the transducer; when it is full, pieces that come again stay."""
 
     def __init__(self, transducer: Transducer) -> None:
         super().__init__()
         self.transducer = transducer
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.transducer.encode(piece.encode("utf-8", "replace"))
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self.transducer.encode(piece.encode("utf-8", "replace"))
         if len(piece) <= PIECE_CHARS:
             if len(self) >= PIECES:
+                self.before = self.copy()
                 self.clear()
             self[piece] = ids
         return ids
