@@ -14,8 +14,8 @@ other, size bound and sketch inside the join, so that hardly more than the links
 components leave it, and no pair of different sets goes untried unless the chain already connects it.
 
 Cases: null, empty or blank texts have no shingles, are linked with nothing and are kept; a text
-of fewer words than a shingle is one shingle; rows that repeat a doc_id count as one document;
-a null doc_id is linked with nothing, has a null component and is kept; other columns are not read.
+of fewer words than a shingle is one shingle; equal rows share one result; a doc_id with several
+texts is judged by text, those for which it is the smallest doc_id being one component; a null doc_id is linked with nothing, has a null component and is kept; other columns are not read.
 """
 
 from __future__ import annotations
