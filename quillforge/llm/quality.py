@@ -7,12 +7,18 @@ document's log weight is log(target / raw) over its features, brought to LENGTH
 noise, fixed by doc_id and seed, is added and the top k documents are the sample. k is how many documents reach
 the log weight that best parts good from bad labels, both scored by models that have not seen them.
 
+Toxic documents are no candidates. A second model, from toxic labels, has for each word (lower-cased,
+TOXIC_BUCKETS buckets) the log of its share of toxic documents over that of other ones, smoothed by
+TOXIC_SMOOTH. A document is as toxic as its strongest word, so neither length nor clean words dilute
+it; from which weight on it is toxic is found like the log weight's level, by models of the other fold.
+
 Scale: raw counts cover all documents, in one pass; labels are a sample of LABELS rows at most
-(drawn by hash of doc_id), which bounds what is broadcast. Models are BUCKETS numbers. The k-th
+(drawn by hash of doc_id), which bounds what is broadcast. Models are BUCKETS numbers, and the
+buckets of words that toxic labels have, TOXIC_BUCKETS at most. The k-th
 largest key is found by repeated histograms, never by sorting or collecting keys.
 
 Cases: documents without words have a null log weight and are not kept; without both good and bad
-labels all others are kept; ties at the k-th key are all kept; labels without a document and null
+labels all others are kept; without both toxic and other labels nothing is toxic; ties at the k-th key are all kept; labels without a document and null
 labels count for nothing; repeated rows share their fate.
 """
 
@@ -38,6 +44,10 @@ KEEP = 0.99
 #: Log weights are those of a text of so many features, so that lengths don't decide.
 LENGTH = 100
 SEED = 11
+#: Buckets of the toxicity model's words.
+TOXIC_BUCKETS = 1 << 20
+#: Share of documents added to a word's share of toxic and of other documents.
+TOXIC_SMOOTH = 0.01
 
 _KIND = np.zeros(256, np.uint64)
 _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[128:] = 1, 2, 3, 4
@@ -87,29 +97,99 @@ def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.log((target + weight * base) / (target.sum() + weight)) - np.log(base)
 
 
-def _score(ratios: np.ndarray, name: str):  # noqa: ANN202
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, row pointers) of all rows' lower-cased words."""
+    starts, ends, pointers = K.word_spans(data, offsets, K.NOT_ALNUM)
+    return (K.word_hashes(data, starts, ends) % np.uint64(TOXIC_BUCKETS)).astype(np.int64), pointers
+
+
+def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many documents of each fold and label (2 * fold + toxic) have a word."""
+    for batch in batches:
+        data, offsets = K.buffers(batch.column("text"))
+        kind = batch.column("fold").to_numpy().astype(np.int64) * 2 + batch.column("toxic").to_numpy()
+        for first, last, part, at in K.chunks(data, offsets):
+            buckets, pointers = _words(part, at)
+            own = np.unique(np.repeat(np.arange(last - first), np.diff(pointers)) * TOXIC_BUCKETS + buckets)
+            found, n = np.unique(kind[first:last][own // TOXIC_BUCKETS] * TOXIC_BUCKETS + own % TOXIC_BUCKETS, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found // TOXIC_BUCKETS), pa.array(found % TOXIC_BUCKETS), pa.array(n.astype(np.int64))], names=["kind", "bucket", "n"])
+
+
+def _strongest(buckets: np.ndarray, weights: np.ndarray):  # noqa: ANN202
+    """Each row's largest weight, by the model of the other fold; 0 for words that toxic labels don't have."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((2, TOXIC_BUCKETS))
+        table[:, buckets] = weights
         for batch in batches:
-            data, offsets = K.buffers(batch.column("text").cast(pa.string()))
+            data, offsets = K.buffers(batch.column("text"))
+            fold = batch.column("fold").to_numpy()
             found = []
+            for first, _, part, at in K.chunks(data, offsets):
+                own, pointers = _words(part, at)
+                found += [float(table[1 - fold[first + r]][own[pointers[r] : pointers[r + 1]]].max(initial=0)) for r in range(len(at) - 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.float64())], names=["toxic", "w"])
+
+    return run
+
+
+def fit_toxic(labelled: DataFrame) -> np.ndarray:
+    """Buckets of the words that make a document toxic, from ``labelled`` (text, toxic, fold)."""
+    sizes = np.zeros((2, 2))
+    for row in labelled.groupBy("fold", "toxic").count().collect():
+        sizes[row.fold, row.toxic] = row["count"]
+    if not sizes.sum(axis=0).all():
+        return np.zeros(0, np.int64)
+    each = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)]
+    seen = labelled.mapInArrow(_presence, "kind long, bucket long, n long").groupBy("bucket").agg(*each).where("n1 + n3 > 0").toArrow()
+    counts = np.array([seen.column(f"n{k}").to_numpy() for k in range(4)], float).reshape(2, 2, -1)
+
+    def ratio(n: np.ndarray, of: np.ndarray) -> np.ndarray:
+        clean, toxic = (n[k] / max(of[k], 1) + TOXIC_SMOOTH for k in (0, 1))
+        return np.log(toxic / clean)
+
+    buckets = seen.column("bucket").to_numpy()
+    weights = np.array([ratio(counts[f], sizes[f]) for f in (0, 1)])
+    rows = labelled.select("text", "toxic", "fold").mapInArrow(_strongest(buckets, weights), "toxic int, w double").toArrow()
+    level = -_threshold(-rows.column("w").to_numpy(), 1 - rows.column("toxic").to_numpy())
+    return buckets[ratio(counts.sum(axis=0), sizes.sum(axis=0)) > level]
+
+
+def _score(ratios: np.ndarray, name: str, toxic: np.ndarray | None = None):  # noqa: ANN202
+    """Log weights; with ``toxic`` (buckets) also whether a text has a toxic word, as ``name`` and ``_toxic``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if toxic is not None:
+            table = np.zeros(TOXIC_BUCKETS, bool)
+            table[toxic] = True
+        for batch in batches:
+            data, offsets = K.buffers(batch.column("text").cast(pa.string()))
+            found, bad = [], []
             for _, _, part, at in K.chunks(data, offsets):
                 buckets, pointers = features(part, at)
                 own = ratios[buckets]
                 for r in range(len(at) - 1):
                     found.append(float(own[pointers[r] : pointers[r + 1]].mean()) * LENGTH if pointers[r + 1] > pointers[r] else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, name])
+                if toxic is not None:
+                    words, pointers = _words(part, at)
+                    sums = np.concatenate([[0], np.cumsum(table[words])])[pointers]
+                    bad.append(sums[1:] > sums[:-1])
+            columns = {name: pa.array(found, pa.float64())}
+            if toxic is not None:
+                columns[f"{name}_toxic"] = pa.array(np.concatenate([np.zeros(0, bool), *bad]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
 
     return run
 
 
 def _sampled(labels: DataFrame, bound: int) -> DataFrame:
-    """doc_id, good (1 or 0) and fold (0 or 1) of ``bound`` labels at most, as far as hashing tells."""
+    """doc_id, good, toxic and fold (1 or 0 each) of ``bound`` labels at most, as far as hashing tells."""
     own = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     total = own.count()
     if total > bound:
         own = own.where(F.expr(f"pmod(xxhash64(doc_id, 'label'), 4294967296) < {int(2**32 * bound / total)}"))
     good = F.when((F.col("quality") > 0) & (F.col("toxic") == 0), 1).otherwise(0)
-    return own.select("doc_id", good.alias("good"), F.expr("cast(pmod(xxhash64(doc_id, 'fold'), 2) as int)").alias("fold"))
+    return own.select("doc_id", good.alias("good"), (F.col("toxic") > 0).cast("int").alias("toxic"), F.expr("cast(pmod(xxhash64(doc_id, 'fold'), 2) as int)").alias("fold"))
 
 
 def _threshold(scores: np.ndarray, good: np.ndarray) -> float:
@@ -124,8 +204,8 @@ def _threshold(scores: np.ndarray, good: np.ndarray) -> float:
     return float((s[at] + s[at + 1]) / 2) if at + 1 < len(s) else float(s[at])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = LABELS) -> tuple[np.ndarray, float]:
-    """(log ratio of each bucket, log weight from which documents count as good)."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = LABELS) -> tuple[np.ndarray, float, np.ndarray]:
+    """(log ratio of each bucket, log weight from which documents count as good, buckets of toxic words)."""
     spark = docs.sparkSession
     bound_arrow(spark)
     known = F.broadcast(stage(_sampled(labels, sample), "labels"))
@@ -136,21 +216,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = LABELS) -> tuple[np.nd
         sums[:, row.bucket] = row.raw, row.good0, row.good1
     raw, folds = sums[0], sums[1:]
     scores, good = [], []
-    labelled = stage(plain.join(known, "doc_id").select("text", "good", "fold"), "labelled")
+    labelled = stage(plain.join(known, "doc_id").select("text", "good", "toxic", "fold"), "labelled")
     for f in (0, 1):
-        seen = labelled.where(F.col("fold") == f).mapInArrow(_score(log_ratios(raw, folds[1 - f]), "w"), "text string, good int, fold int, w double")
+        seen = labelled.where(F.col("fold") == f).select("text", "good", "fold").mapInArrow(_score(log_ratios(raw, folds[1 - f]), "w"), "text string, good int, fold int, w double")
         rows = seen.where("w is not null").select("good", "w").toArrow()
         scores.append(np.array(rows.column("w").to_pylist(), float))
         good.append(np.array(rows.column("good").to_pylist(), int))
     scores, good = np.concatenate(scores), np.concatenate(good)
     level = _threshold(scores, good) if 0 < good.sum() < len(good) else -np.inf
-    return log_ratios(raw, folds.sum(axis=0)), level
+    return log_ratios(raw, folds.sum(axis=0)), level, fit_toxic(labelled)
 
 
-def weigh(docs: DataFrame, ratios: np.ndarray, name: str) -> DataFrame:
-    """``docs`` with column ``name``: each document's log weight."""
+def weigh(docs: DataFrame, ratios: np.ndarray, name: str, toxic: np.ndarray) -> DataFrame:
+    """``docs`` with each document's log weight as ``name`` and whether it is toxic as ``name`` and ``_toxic``."""
     bound_arrow(docs.sparkSession)
-    return docs.mapInArrow(_score(ratios, name), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(_score(ratios, name, toxic), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType()), T.StructField(f"{name}_toxic", T.BooleanType())]))
 
 
 def gumbel(doc_id: Column, seed: int = SEED) -> Column:
@@ -179,28 +259,33 @@ def kth_largest(keys: DataFrame, k: int, small: int = 5000, bins: int = 1024) ->
             above += tally[b].n
 
 
+def _key(name: str, doc_id: Column) -> Column:
+    """The log weight with noise; null for toxic documents."""
+    return F.when(~F.col(f"{name}_toxic"), F.col(name) + gumbel(doc_id))
+
+
 def cut(keys: DataFrame, level: float) -> float:
-    """The smallest key of the sample: as many keys as documents whose log weight is ``level`` or more."""
-    k = keys.where(F.col("weight") >= level).count()
+    """The smallest key of the sample: as many keys as documents with a key whose log weight is ``level`` or more."""
+    k = keys.where((F.col("weight") >= level) & F.col("key").isNotNull()).count()
     return kth_largest(keys, k) if k else float("inf")
 
 
 def select(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, log_weight, key and kept of each row of ``docs``."""
-    ratios, level = fit(docs, labels)
+    """doc_id, log_weight, key (null if toxic) and kept of each row of ``docs``."""
+    ratios, level, toxic = fit(docs, labels)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keys = stage(weigh(plain, ratios, "weight").select("doc_id", "weight", (F.col("weight") + gumbel(F.col("doc_id"))).alias("key")), "keys")
+    keys = stage(weigh(plain, ratios, "weight", toxic).select("doc_id", "weight", _key("weight", F.col("doc_id")).alias("key")), "keys")
     least = cut(keys, level)
     return keys.select("doc_id", F.col("weight").alias("log_weight"), "key", F.coalesce(F.col("key") >= least, F.lit(False)).alias("kept"))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``select`` keeps, with their columns."""
-    ratios, level = fit(docs, labels)
+    ratios, level, toxic = fit(docs, labels)
     own = [f"`{c}`" for c in docs.columns]
     name = "_log_weight" + "_" * max((len(c) for c in docs.columns), default=0)
-    weighed = weigh(docs.withColumn("text", F.col("text").cast("string")), ratios, name)
-    keyed = weighed.withColumn(name, F.col(name) + gumbel(F.col("doc_id").cast("long")))
-    weights = weigh(docs.select("doc_id", F.col("text").cast("string").alias("text")), ratios, "weight")
-    least = cut(stage(weights.select("weight", (F.col("weight") + gumbel(F.col("doc_id").cast("long"))).alias("key")), "keys"), level)
+    weighed = weigh(docs.withColumn("text", F.col("text").cast("string")), ratios, name, toxic)
+    keyed = weighed.withColumn(name, _key(name, F.col("doc_id").cast("long")))
+    weights = weigh(docs.select("doc_id", F.col("text").cast("string").alias("text")), ratios, "weight", toxic)
+    least = cut(stage(weights.select("weight", _key("weight", F.col("doc_id").cast("long")).alias("key")), "keys"), level)
     return keyed.where(F.col(name) >= least).select(*own)

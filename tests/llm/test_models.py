@@ -2,10 +2,12 @@
 
 import collections
 import math
+import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillforge.llm import langid, lm, quality, registry
 
@@ -58,6 +60,27 @@ def test_quality(spark, docs, tiny):
     assert quality.keep(docs, labels.limit(0)).count() == docs.where("length(trim(text)) > 0").count()
 
 
+def test_quality_leaves_out_toxic_documents(spark):
+    """Labels that only part of the toxic documents have, and texts in which one word of thousands is toxic."""
+    d, own = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    bad = set("trash pathetic idiot disgusting worthless stupid clown loser scum moron".split())
+    plain = d.where("lang = 'en' and n_chars > 1000").orderBy("doc_id").select("doc_id", "text").collect()
+    clean = [r for r in plain if not bad & set(r.text.lower().split())][:20]
+    rows = [(10_000_000 + i, " ".join([*[r.text] * 5, "Idiot!", *[r.text] * 5])) for i, r in enumerate(clean)]
+    docs = d.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    # Every other toxic label is held out.
+    toxic = sorted(r.doc_id for r in own.where("toxic = 1 and quality = 1").collect())
+    held = set(toxic[::2])
+    kept = {r.doc_id: r.kept for r in quality.select(docs, own.where(~own.doc_id.isin(held))).collect()}
+    texts = {r.doc_id: set(re.findall("[a-z]+", r.text.lower())) for r in docs.collect()}
+    found = [not kept[i] for i in held if texts[i] & bad]
+    assert len(found) >= 10 and sum(found) >= 0.9 * len(found)
+    assert sum(not kept[i] for i in held) >= 0.5 * len(held)
+    assert not any(kept[i] for i, _ in rows)
+    # Labels that cannot be told apart by toxicity leave all in.
+    assert len(quality.fit(docs, own.withColumn("toxic", F.lit(0)))[2]) == 0
+
+
 def test_kth_largest(spark):
     keys = spark.createDataFrame([(float(v % 97) / 7,) for v in range(1000)], "key double")
     want = sorted((float(v % 97) / 7 for v in range(1000)), reverse=True)
