@@ -1,8 +1,9 @@
 """Personal data spans by weak supervision, in DataFrame and SQL functions only.
 
-Method: base patterns (email, ip, card, phone) always count. Beyond them, every word with a digit is a
-candidate; regex, gazetteer and context labelers vote on it (1 personal or secret, -1 harmless,
-0 no view). Expectation-maximisation over the counts of vote patterns estimates how each labeler votes
+Method: base patterns (email, ip, card, phone) always count. Beyond them, these are candidates:
+words with a digit, adjacent groups of digits as one, name=value and secret:value words, any word
+behind a secret word with a colon or equals sign, and runs of capitalised words behind a person
+word. Regex and context labelers vote on them (1 personal or secret, -1 harmless, 0 no view). Expectation-maximisation over the counts of vote patterns estimates how each labeler votes
 on either kind of candidate, hence how likely each pattern is personal. Those likelihoods are the
 soft labels of the final classifier of candidates, a naive Bayes model over shape and context
 features, which decides about every candidate; accepted ones are added as spans of kind ``secret``.
@@ -42,11 +43,20 @@ _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string,before:string>>"
 
-CANDIDATE = r"(?<!\S)(?=[^\s0-9]*+[0-9])\S++"
 SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "bearer", "credential", "key")
 PERSON_WORDS = ("call", "tel", "phone", "mobile", "fax", "ssn", "passport", "iban", "account", "contact", "license")
 PLAIN_WORDS = ("page", "pages", "chapter", "vol", "volume", "year", "version", "figure", "fig", "table", "step", "section", "no")
 EM_ROUNDS = 25
+#: A word of digits and their punctuation; several, one space apart, are one candidate.
+_GROUP = r"[(]?+[0-9][0-9().-]*+(?=[\s,;:!?]|$)"
+_SECRET = rf"(?i:{'|'.join(SECRET_WORDS)})"
+_PERSON = rf"(?i:{'|'.join(PERSON_WORDS)})"
+CANDIDATE = (
+    rf"(?<!\S)(?:[+]?+{_GROUP}(?:\x20{_GROUP})++|(?=[^\s0-9]*+[0-9])\S++|[A-Za-z_]++=\S++|{_SECRET}:\S++"
+    rf"|(?<=(?<![A-Za-z0-9_]){_SECRET}\x20?[:=]\s)\S++|(?<=(?<![A-Za-z0-9_]){_PERSON}:?\x20)\p{{Lu}}\p{{Ll}}++(?:\x20\p{{Lu}}\p{{Ll}}++)++)"
+)
+#: A text without this has no candidate.
+_MAY = rf"[0-9=]|{_SECRET}\x20?:|{_PERSON}:?\x20\p{{Lu}}"
 
 
 def _digits(value: Column) -> Column:
@@ -64,13 +74,15 @@ _VALID: dict[str, Callable[[Column], Column]] = {
 def _found(text: Column, kind: str, pattern: str, valid: Callable[[Column], Column]) -> Column:
     """Spans of the pattern's valid matches, by start."""
     pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.expr(f"cast(array() as {_SPAN})").alias("out"))
 
     def step(a: Column, z: Column) -> Column:
+        before = F.right(F.concat(a["tail"], z["gap"]), F.lit(40))
+        tail = F.right(F.concat(before, F.coalesce(z["hit"], F.lit(""))), F.lit(40))
         begin = a["at"] + F.length(z["gap"])
         end = begin + F.coalesce(F.length(z["hit"]), F.lit(0))
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), z["hit"].alias("value"), F.right(z["gap"], F.lit(40)).alias("before"))
-        return F.struct(end.alias("at"), F.when(z["hit"].isNotNull() & valid(z["hit"]), F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), z["hit"].alias("value"), before.alias("before"))
+        return F.struct(end.alias("at"), tail.alias("tail"), F.when(z["hit"].isNotNull() & valid(z["hit"]), F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
 
     return F.aggregate(pieces, start, step, lambda a: a["out"])
 
@@ -87,9 +99,9 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """Words with a digit, without enclosing punctuation, that touch no base span."""
+    """Words and runs that CANDIDATE finds, without enclosing punctuation, that touch no base span."""
     none = F.expr(f"cast(array() as {_SPAN})")
-    words = F.when(text.rlike("[0-9]"), _found(text, "secret", CANDIDATE, lambda v: F.lit(True))).otherwise(none)
+    words = F.when(text.rlike(_MAY), _found(text, "secret", CANDIDATE, lambda v: F.lit(True))).otherwise(none)
 
     def trim(s: Column) -> Column:
         lead = F.length(F.regexp_extract(s["value"], r"^([^\p{L}\p{N}]*+)", 1))
@@ -109,7 +121,8 @@ def votes(s: Column) -> Column:
     """What each labeler says about a candidate."""
     v, before = s["value"], _previous(s)
     name = F.lower(F.regexp_extract(v, r"^([A-Za-z_]++)[=:]", 1))
-    n = F.length(v)
+    n, digits = F.length(v), F.length(_digits(v))
+    groups = v.rlike(r"^[0-9][0-9().\x20-]*\x20")
 
     def vote(yes: Column, no: Column | None = None) -> Column:
         out = F.when(yes, F.lit(1))
@@ -119,10 +132,10 @@ def votes(s: Column) -> Column:
         vote(v.rlike(r"^[0-9a-fA-F]{24,}$")),
         vote(v.rlike(r"^(?:AKIA|ASIA)[0-9A-Z]{12,}$|^(?:sk|ghp|xox[a-z])[-_][0-9A-Za-z-]{12,}$")),
         vote(v.rlike(r"^[A-Za-z_]++[=:]\S{6,}$")),
-        vote(F.lit(False), v.rlike(r"^[0-9]{1,4}(?:[.,:/-][0-9]{1,4})*$")),
+        vote(F.lit(False), v.rlike(r"^[0-9]{1,4}(?:[.,:/-][0-9]{1,4})*$") | (groups & ~digits.between(7, 19))),
         vote(before.isin(*SECRET_WORDS) | name.isin(*SECRET_WORDS)),
         vote(F.lit(False), before.isin(*PLAIN_WORDS)),
-        vote(before.isin(*PERSON_WORDS) & (F.length(_digits(v)) >= 5)),
+        vote(before.isin(*PERSON_WORDS) & ((digits >= 5) | v.rlike(r"^\p{Lu}\p{Ll}+\x20"))),
         vote((n >= 16) & v.rlike("[A-Za-z]"), n <= 5),
     )
 
@@ -165,7 +178,7 @@ def _em(patterns: DataFrame) -> DataFrame:
 def train(docs: DataFrame) -> dict[str, float]:
     """Weights of the final classifier: log-odds of each feature value, and '' for the prior."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select(text.alias("text")).where(F.col("text").rlike("[0-9]"))
+    own = docs.select(text.alias("text")).where(F.col("text").rlike(_MAY))
     own = own.withColumn("base", base_spans(F.col("text")))
     # A second use of base keeps the optimiser from putting its patterns inside the candidates' loop.
     own = own.select(F.explode(F.when(F.size("base") >= 0, candidates(F.col("text"), F.col("base")))).alias("s"))
@@ -194,7 +207,7 @@ def with_spans(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (kind, start, end, value, before)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     based = docs.withColumn("base", base_spans(text))
-    return based.withColumn("spans", F.when(text.rlike("[0-9]"), F.concat("base", _accepted(candidates(text, F.col("base")), weights))).otherwise(F.col("base")))
+    return based.withColumn("spans", F.when(text.rlike(_MAY), F.concat("base", _accepted(candidates(text, F.col("base")), weights))).otherwise(F.col("base")))
 
 
 def find(docs: DataFrame) -> DataFrame:

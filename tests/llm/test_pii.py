@@ -67,3 +67,18 @@ def test_added_spans_and_redaction(spark):
     assert all(got[300 + i] == "the [SECRET] and key [SECRET] then" for i in range(60))
     assert got[1000] is None and got[1001] == "" and got[1002] == "write [EMAIL] or [IP]"
     assert pii.redact(docs.limit(0)).count() == 0
+
+
+def test_secrets_without_digits_and_spaced_numbers(spark):
+    """Values without digits, spaced numbers, and cues behind another candidate."""
+    plain = [f"plain words {i} and page {i} of {i + 2}." for i in range(300)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = [f"{letters[i % 26]}{letters[i // 26]}" for i in range(60)]
+    rows = [*plain, *(f"the password: correcthorse{x}battery then" for x in own), *(f"the token=horsecorrect{x}battery then" for x in own), *(f"the phone 308 555 37{i + 11} then" for i in range(60)), *(f"the 17 password e3b0c442{i:04d}ab then" for i in range(60)), *(f"please contact Anna Smith{x} then" for x in own)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert all(got[i] == t for i, t in enumerate(plain))
+    ends = [got[i][:] for i in range(300, 600)]
+    assert set(ends[:60]) == {"the password: [SECRET] then"} and set(ends[60:120]) == {"the [SECRET] then"}
+    assert set(ends[120:180]) == {"the phone [SECRET] then"} and set(ends[180:240]) == {"the 17 password [SECRET] then"}
+    assert set(ends[240:]) == {"please contact [SECRET] then"}
