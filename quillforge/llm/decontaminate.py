@@ -11,7 +11,8 @@ documents are never shuffled in a single block, and only (doc, span) rows are ot
 no item has reset the automaton, so only runs of known words as long as the shortest window stream
 through it.
 
-Cases: null and empty texts have no words and stay; items without words match nothing; repeated rows
+Cases: null and empty texts have no words and stay; items without words match nothing; items without an
+item_id hit like others but are not named; repeated rows
 each get their own result; equal items all count; other columns pass through untouched.
 """
 
@@ -196,6 +197,7 @@ class Matcher:
                 yield r, int(counts[r]), None, set(), []
                 continue
             hit, items = found[r]
+            items.discard(None)
             edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
             p = int(pointers[r])
             spans = [(int(starts[p + i]) - int(offsets[r]), int(ends[p + j - 1]) - int(offsets[r])) for i, j in edge.reshape(-1, 2)]
@@ -205,7 +207,7 @@ class Matcher:
 def _blocks(benchmark: DataFrame, words: int) -> Iterator[list[tuple[str, str | None]]]:
     """Items in blocks of about ``words`` words; one partition at a time is on the driver."""
     block, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("i is not null").toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).toLocalIterator():
         block.append((row.i, row.t))
         size += len((row.t or "").split()) + 1
         if size >= words:

@@ -77,3 +77,13 @@ def test_cut_and_drop(spark):
     assert set(got) == {1, 3, 4} and got[3] == "clean" and got[4] is None
     assert got[1] == f"Before {' '.join('abcdefghijklmnopqrstuvwxyz' * 3)} . ! after"
     assert {r.doc_id for r in D.decontaminate(docs, bench, coverage=0.0).collect()} == {3, 4}
+
+
+def test_items_without_an_id(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, f"so {item}"), (2, "alpha beta"), (3, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (None, "alpha beta"), (7, "alpha beta")], "item_id long, text string")
+    for block in (D.BLOCK_WORDS, 1):
+        got = {r.doc_id: (r.n_hit, r.items) for r in D.contamination(docs, bench, block_words=block).collect()}
+        assert got == {1: (11, []), 2: (2, ["7"]), 3: (0, [])}
+    assert [r.doc_id for r in D.decontaminate(docs, bench, coverage=0.0).collect()] == [3]
