@@ -1,4 +1,8 @@
-"""Lineage cuts for iterative operators: Parquet tables in the folder that the whole cluster shares."""
+"""Plan cuts: Parquet tables in the folder that the whole cluster shares.
+
+A table staged there is lost with no executor, and what is built on it does not run its past again.
+Each application has a folder of its own, which ``drop_staged`` deletes once results are written.
+"""
 
 from __future__ import annotations
 
@@ -9,18 +13,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
+    """``spark.checkpoint.dir``; a session of one local process without one gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillforge-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}"
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new, empty place in this application's folder."""
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once and read back."""
-    path = f"{shared_dir(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete all that this application has staged."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillforge.staging import shared_dir
+from quillforge.staging import fresh_path
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -31,7 +30,7 @@ def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
 
     Each batch overwrites its own folder, so a batch that runs again after a failure leaves one copy.
     """
-    place = f"{shared_dir(stream.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
+    place = fresh_path(stream.sparkSession, name)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{place}/rows/batch={number}")
