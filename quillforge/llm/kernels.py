@@ -1,9 +1,10 @@
 """Vectorised text kernels over Arrow buffers: word spans and 64-bit hashes without Python strings.
 
 A batch of texts is one byte buffer with document offsets. Words are maximal runs of non-separator
-bytes, never across documents. A word's hash is a polynomial over per-byte random values modulo
-2**64 (a difference of prefix sums), then a bijective finaliser, so equal words hash alike in every
-batch and process.
+bytes, never across documents. A word's hash mixes its length and then its bytes, eight at a time,
+each step a bijection of the state, so words of up to eight bytes and one length never collide and
+others only by chance; words beyond LONG bytes are hashed whole by XXH3. Equal words hash alike
+in every batch and process.
 """
 
 from __future__ import annotations
@@ -13,22 +14,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
+_PHI = U64(0x9E3779B97F4A7C15)
 _MASK = (1 << 64) - 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Words of more bytes are hashed by XXH3.
+LONG = 512
 #: Bytes handled at once; a longer document is a chunk of its own.
 CHUNK = 1 << 19
 
 _rng = np.random.default_rng(20240229)
-BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 SHINGLE_FACTORS = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * U64(2) + U64(1)
 
 #: Lower-cases A-Z and nothing else.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-LOWER_VALUES = BYTE_VALUES[LOWER]
+#: The first 0 to 8 bytes of a little-endian block.
+_FIRST = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=np.uint64)
 
 #: Separators of words ``[^\x20\x09-\x0D]+``.
 SPACE = np.zeros(256, dtype=bool)
@@ -48,27 +51,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class _Powers:
-    """Powers of the base and of its inverse, as far as the longest chunk so far."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            self.up, self.down = (self._run(b, n) for b in (_BASE, _INVERSE))
-        return self.up[:n], self.down[:n]
-
-    @staticmethod
-    def _run(base: int, n: int) -> np.ndarray:
-        out = np.full(n, base, dtype=np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-
-_POWERS = _Powers()
-
-
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -116,14 +98,23 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) ->
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = LOWER_VALUES) -> np.ndarray:
-    """A 64-bit hash of each word; ``values`` maps bytes, by default with A-Z lower-cased."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = LOWER) -> np.ndarray:
+    """A 64-bit hash of each word; ``fold`` maps bytes first, by default A-Z to a-z."""
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _POWERS.upto(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+        return np.zeros(0, U64)
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data if fold is None else fold[data]
+    blocks = np.ndarray((len(data) + 8,), "<u8", padded, strides=(1,))
+    sizes = ends - starts
+    out = mix(mix(sizes.astype(U64) * _PHI + _PHI) ^ (blocks[starts] & _FIRST[np.minimum(sizes, 8)]))
+    more, done = np.flatnonzero((sizes > 8) & (sizes <= LONG)), 8
+    while len(more):
+        left = sizes[more] - done
+        out[more] = mix((out[more] + _PHI) ^ (blocks[starts[more] + done] & _FIRST[np.minimum(left, 8)]))
+        more, done = more[left > 8], done + 8
+    for w in np.flatnonzero(sizes > LONG):
+        out[w] = xxhash.xxh3_64_intdigest(padded[starts[w] : ends[w]].tobytes())
+    return out
 
 
 def windows(hashes: np.ndarray, pointers: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

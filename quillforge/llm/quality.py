@@ -60,7 +60,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts, ends, pointers = K.word_spans(data, offsets, K.SPACE)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    words = K.word_hashes(data, starts, ends, K.BYTE_VALUES)
+    words = K.word_hashes(data, starts, ends, None)
     again = np.zeros(len(words), np.uint64)
     again[1:] = words[1:] == words[:-1]
     shapes = K.mix(_KIND[data[starts]] * np.uint64(4096) + _KIND[data[ends - 1]] * np.uint64(8) + again * np.uint64(2) + (ends - starts > 20).astype(np.uint64))

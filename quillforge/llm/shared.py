@@ -1,56 +1,25 @@
-"""Session plumbing shared by the training-data operators: staging, Arrow batches, table access.
-
-Staged tables are Parquet under ``spark.checkpoint.dir``, the folder that driver and executors
-share, so a lost executor never loses them and lineage is cut without a local checkpoint.
-"""
+"""Session plumbing shared by the training-data operators: staging, Arrow batches, table access."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch handed to Python: bounds worker memory at this many texts.
-ARROW_ROWS = 512
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local session without one (tests) gets a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = tempfile.mkdtemp(prefix="quillforge-")
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext.getCheckpointDir()
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new, empty place in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
-
+from quillforge.session import table
+from quillforge.staging import drop_staged, fresh_path
+from quillforge.staging import staged as stage
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: a lineage cut that survives executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["bound_arrow", "drop_staged", "fresh_path", "frequent", "salted_join", "stage", "table"]
 
-
-def drop_staged(spark: SparkSession) -> None:
-    """Delete every staged table of this application's shared folder (once its results are written)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/staged")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: Rows of one Arrow batch handed to Python: bounds worker memory at this many texts.
+ARROW_ROWS = 512
+#: A value that more than one of this many rows have is frequent; there can't be more such values.
+FREQUENT = 1000
+#: How many ways the rows of a frequent value are split in a join.
+WAYS = 16
 
 
 def bound_arrow(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
@@ -65,3 +34,23 @@ def bound_arrow(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+
+
+def frequent(counts: DataFrame, total: int, n: str = "n") -> DataFrame:
+    """The rows of ``counts`` whose ``n`` is over 1 in FREQUENT of ``total``: at most FREQUENT rows, as the
+    counts sum up to the total, hence small enough to broadcast."""
+    return counts.where(F.col(n) > max(total // FREQUENT, FREQUENT // 10))
+
+
+def salted_join(rows: DataFrame, key: str, total: int, other: DataFrame, ways: int = WAYS) -> DataFrame:
+    """``rows`` inner-joined by ``key`` to ``other``, rows of frequent keys dealt over ``ways`` tasks each.
+
+    total: how many rows there are. The key is unique in other, whose rows of frequent keys go to all
+    their tasks. rows is read twice, so it should be staged.
+    """
+    hot = F.broadcast(frequent(rows.groupBy(key).agg(F.count("*").alias("n")), total).select(F.col(key).alias("_hot")))
+    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.lit(ways)).cast("int")).otherwise(0)
+    dealt = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot")
+    copies = F.sequence(F.lit(0), F.when(F.col("_hot").isNotNull(), F.lit(ways - 1)).otherwise(0))
+    spread = other.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return dealt.join(spread, [key, "_salt"]).drop("_salt")
