@@ -1,30 +1,38 @@
 """Quality selection by importance resampling over hashed n-gram models, with Gumbel top-k.
 
-Method: words, and runs of three word shapes (first and last character class, repetition of the
-word before), are hashed into BUCKETS features. One generative model counts the features of all
-documents (raw), one those of good labelled documents (target), smoothed towards the raw one. A
-document's log weight is log(target / raw) over its features, brought to LENGTH features; Gumbel
-noise, fixed by doc_id and seed, is added and the top k documents are the sample. k is how many documents reach
-the log weight that best parts good from bad labels, both scored by models that have not seen them.
+Method: words, pairs of neighbouring words, and runs of three word shapes (first and last character
+class, repetition of the word before) are hashed into BUCKETS features. One generative model counts the
+features of all documents (raw), one those of good labelled documents (target), smoothed towards the
+raw one. A document's log ratio is the log of target / raw over its features; its log weight is that of a
+text of LENGTH like features, so that length does not decide. Keys are log weights over the temperature plus
+standard Gumbel noise, fixed by doc_id and seed, and the k documents of the largest keys are the sample: k
+draws without replacement, the chance of a document in proportion to exp(log weight / temperature).
+
+k and the temperature are the caller's, or follow from the labels, each scored by models that have not
+seen it: k is how many documents reach the log weight that best parts good from bad labels, and the
+temperature the greatest at which the noise is expected to cost LOSS of the good labels at most.
 
 Toxic documents are no candidates. A second model, from toxic labels, has for each word (lower-cased,
 TOXIC_BUCKETS buckets) the log of its share of toxic documents over that of other ones, smoothed by
 TOXIC_SMOOTH. A document is as toxic as its strongest word, so neither length nor clean words dilute
 it; from which weight on it is toxic is found like the log weight's level, by models of the other fold.
 
-Scale: raw counts cover all documents, in one pass; labels are a sample of LABELS rows at most
-(drawn by hash of doc_id), which bounds what is broadcast. Models are BUCKETS numbers, and the
-buckets of words that toxic labels have, TOXIC_BUCKETS at most. The k-th
+Scale: raw counts cover all documents, in one pass, and each document is scored once and staged; labels
+are a sample of LABELS rows at most (drawn by hash of doc_id), which bounds what is broadcast. Models are
+BUCKETS numbers, and the buckets of words that toxic labels have, TOXIC_BUCKETS at most. The k-th
 largest key is found by repeated histograms, never by sorting or collecting keys.
 
-Cases: documents without words have a null log weight and are not kept; without both good and bad
-labels all others are kept; without both toxic and other labels nothing is toxic; ties at the k-th key are all kept; labels without a document and null
-labels count for nothing; repeated rows share their fate.
+Cases: documents without words (null, empty, blank) have a null log weight and are not kept; very long
+texts are taken whole; without both good and bad labels all others are kept; without both toxic and
+other labels nothing is toxic; ties at the k-th key are all kept; labels without a document and null labels
+count for nothing; repeated rows share their fate; a null doc_id has noise like any other; empty tables give
+no rows; other columns, whatever their names, pass through ``keep`` and are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +43,16 @@ from pyspark.sql import types as T
 from quillforge.llm import kernels as K
 from quillforge.llm.shared import bound_arrow, stage
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
 LABELS = 20_000
 #: Weight of the raw model in the target model, in features for each bucket.
 SMOOTH = 1.0
 #: Share of good labels that the threshold must keep.
 KEEP = 0.99
-#: Log weights are those of a text of so many features, so that lengths don't decide.
+#: Log weights are those of a text of so many features.
 LENGTH = 100
+#: Share of good labels that the noise may cost by the default temperature.
+LOSS = 0.002
 SEED = 11
 #: Buckets of the toxicity model's words.
 TOXIC_BUCKETS = 1 << 20
@@ -56,23 +66,15 @@ _KIND[_OTHER] = 8 + _OTHER.astype(np.uint64)
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, row pointers) of all rows' features."""
+    """(buckets, row of each) of all rows' features: words, pairs of words, runs of three shapes."""
     starts, ends, pointers = K.word_spans(data, offsets, K.SPACE)
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     words = K.word_hashes(data, starts, ends, None)
     again = np.zeros(len(words), np.uint64)
     again[1:] = words[1:] == words[:-1]
     shapes = K.mix(_KIND[data[starts]] * np.uint64(4096) + _KIND[data[ends - 1]] * np.uint64(8) + again * np.uint64(2) + (ends - starts > 20).astype(np.uint64))
-    runs, at = K.windows(shapes, pointers, 3)
-    counts = np.diff(pointers) + np.diff(at)
-    out_at = np.concatenate([[0], np.cumsum(counts)])
-    out = np.empty(int(out_at[-1]), np.uint64)
-    is_word = np.zeros(len(out), bool)
-    is_word[np.arange(len(words)) + np.repeat(out_at[:-1] - pointers[:-1], np.diff(pointers))] = True
-    out[is_word] = words
-    out[~is_word] = runs
-    return (out % np.uint64(BUCKETS)).astype(np.int64), out_at
+    found = [(words, pointers), K.windows(words, pointers, 2), K.windows(shapes, pointers, 3)]
+    rows = [np.repeat(np.arange(len(offsets) - 1), np.diff(at)) for _, at in found]
+    return (np.concatenate([h for h, _ in found]) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(rows)
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,8 +84,8 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = K.buffers(batch.column("text"))
         good = batch.column("fold").to_numpy(zero_copy_only=False)
         for first, last, part, at in K.chunks(data, offsets):
-            buckets, pointers = features(part, at)
-            fold = np.repeat(good[first:last], np.diff(pointers))
+            buckets, rows = features(part, at)
+            fold = good[first:last][rows]
             sums[0] += np.bincount(buckets, minlength=BUCKETS)
             for f in (0, 1):
                 sums[1 + f] += np.bincount(buckets[fold == f], minlength=BUCKETS)
@@ -155,29 +157,27 @@ def fit_toxic(labelled: DataFrame) -> np.ndarray:
     return buckets[ratio(counts.sum(axis=0), sizes.sum(axis=0)) > level]
 
 
-def _score(ratios: np.ndarray, name: str, toxic: np.ndarray | None = None):  # noqa: ANN202
-    """Log weights; with ``toxic`` (buckets) also whether a text has a toxic word, as ``name`` and ``_toxic``."""
+def _score(ratios: np.ndarray, toxic: np.ndarray, names: list[str]):  # noqa: ANN202
+    """Behind a batch's columns: log ratio and log weight (null without words), and whether a word is toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if toxic is not None:
-            table = np.zeros(TOXIC_BUCKETS, bool)
-            table[toxic] = True
+        table = np.zeros(TOXIC_BUCKETS, bool)
+        table[toxic] = True
         for batch in batches:
             data, offsets = K.buffers(batch.column("text").cast(pa.string()))
-            found, bad = [], []
+            sums, sizes, bad = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
             for _, _, part, at in K.chunks(data, offsets):
-                buckets, pointers = features(part, at)
-                own = ratios[buckets]
-                for r in range(len(at) - 1):
-                    found.append(float(own[pointers[r] : pointers[r + 1]].mean()) * LENGTH if pointers[r + 1] > pointers[r] else None)
-                if toxic is not None:
-                    words, pointers = _words(part, at)
-                    sums = np.concatenate([[0], np.cumsum(table[words])])[pointers]
-                    bad.append(sums[1:] > sums[:-1])
-            columns = {name: pa.array(found, pa.float64())}
-            if toxic is not None:
-                columns[f"{name}_toxic"] = pa.array(np.concatenate([np.zeros(0, bool), *bad]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
+                n = len(at) - 1
+                buckets, rows = features(part, at)
+                sums.append(np.bincount(rows, ratios[buckets], minlength=n))
+                sizes.append(np.bincount(rows, minlength=n))
+                words, pointers = _words(part, at)
+                found = np.concatenate([[0], np.cumsum(table[words])])[pointers]
+                bad.append(found[1:] > found[:-1])
+            total, n = np.concatenate(sums), np.concatenate(sizes)
+            none = n == 0
+            columns = [pa.array(total, mask=none), pa.array(total / np.maximum(n, 1) * LENGTH, mask=none), pa.array(np.concatenate(bad))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
     return run
 
@@ -204,38 +204,73 @@ def _threshold(scores: np.ndarray, good: np.ndarray) -> float:
     return float((s[at] + s[at + 1]) / 2) if at + 1 < len(s) else float(s[at])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = LABELS) -> tuple[np.ndarray, float, np.ndarray]:
-    """(log ratio of each bucket, log weight from which documents count as good, buckets of toxic words)."""
+def kept_share(weights: np.ndarray, level: float, temperature: float) -> np.ndarray:
+    """The chance of each weight to be in a sample of as many as reach ``level``, of a large table like these."""
+    x = np.clip((weights - level) / temperature, -700, 700)
+    wanted, low, high = (weights >= level).mean(), -700.0, 700.0
+    chance = lambda c: -np.expm1(-np.exp(np.clip(x - c, -700, 30)))
+    for _ in range(60):
+        cut = (low + high) / 2
+        low, high = (cut, high) if chance(cut).mean() > wanted else (low, cut)
+    return chance(high)
+
+
+def warmest(weights: np.ndarray, good: np.ndarray, level: float) -> float:
+    """The greatest temperature, of steps of a tenth, at which LOSS of the good at most are lost to the noise."""
+    best, alone = 1e-3, (weights[good == 1] >= level).mean()
+    for temperature in 0.05 * 1.1 ** np.arange(120):
+        if alone - kept_share(weights, level, temperature)[good == 1].mean() > LOSS:
+            break
+        best = float(temperature)
+    return best
+
+
+@dataclass
+class Fitted:
+    """log(target / raw) of each bucket, buckets of toxic words, the level that parts good from bad, and the temperature."""
+
+    ratios: np.ndarray
+    toxic: np.ndarray
+    level: float
+    temperature: float
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = LABELS) -> Fitted:
+    """Models of ``docs`` (doc_id, text) and of ``sample`` labels (doc_id, quality, toxic) at most."""
     spark = docs.sparkSession
     bound_arrow(spark)
     known = F.broadcast(stage(_sampled(labels, sample), "labels"))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = plain.join(known, "doc_id", "left").select("text", F.when(F.col("good") == 1, F.col("fold")).otherwise(-1).alias("fold"))
     sums = np.zeros((3, BUCKETS))
-    for row in marked.mapInArrow(_tally, "bucket long, raw long, good0 long, good1 long").groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("raw", "good0", "good1"))).collect():
-        sums[:, row.bucket] = row.raw, row.good0, row.good1
+    tally = marked.mapInArrow(_tally, "bucket long, raw long, good0 long, good1 long").groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("raw", "good0", "good1"))).toArrow()
+    sums[:, tally.column("bucket").to_numpy()] = [tally.column(c).to_numpy() for c in ("raw", "good0", "good1")]
     raw, folds = sums[0], sums[1:]
-    scores, good = [], []
     labelled = stage(plain.join(known, "doc_id").select("text", "good", "toxic", "fold"), "labelled")
+    weights, good = [], []
     for f in (0, 1):
-        seen = labelled.where(F.col("fold") == f).select("text", "good", "fold").mapInArrow(_score(log_ratios(raw, folds[1 - f]), "w"), "text string, good int, fold int, w double")
+        seen = labelled.where(F.col("fold") == f).select("text", "good").mapInArrow(_score(log_ratios(raw, folds[1 - f]), np.zeros(0, np.int64), ["ratio", "w", "bad"]), "text string, good int, ratio double, w double, bad boolean")
         rows = seen.where("w is not null").select("good", "w").toArrow()
-        scores.append(np.array(rows.column("w").to_pylist(), float))
-        good.append(np.array(rows.column("good").to_pylist(), int))
-    scores, good = np.concatenate(scores), np.concatenate(good)
-    level = _threshold(scores, good) if 0 < good.sum() < len(good) else -np.inf
-    return log_ratios(raw, folds.sum(axis=0)), level, fit_toxic(labelled)
+        weights.append(rows.column("w").to_numpy())
+        good.append(rows.column("good").to_numpy())
+    weights, good = np.concatenate(weights), np.concatenate(good)
+    parted = 0 < good.sum() < len(good)
+    level = _threshold(weights, good) if parted else -np.inf
+    return Fitted(log_ratios(raw, folds.sum(axis=0)), fit_toxic(labelled), level, warmest(weights, good, level) if parted else 1.0)
 
 
-def weigh(docs: DataFrame, ratios: np.ndarray, name: str, toxic: np.ndarray) -> DataFrame:
-    """``docs`` with each document's log weight as ``name`` and whether it is toxic as ``name`` and ``_toxic``."""
+def weigh(docs: DataFrame, fitted: Fitted, prefix: str = "") -> DataFrame:
+    """``docs`` with each document's log_ratio, log_weight and whether it is toxic, names behind ``prefix``."""
     bound_arrow(docs.sparkSession)
-    return docs.mapInArrow(_score(ratios, name, toxic), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType()), T.StructField(f"{name}_toxic", T.BooleanType())]))
+    names = [f"{prefix}{n}" for n in ("log_ratio", "log_weight", "toxic")]
+    kinds = (T.DoubleType(), T.DoubleType(), T.BooleanType())
+    return docs.mapInArrow(_score(fitted.ratios, fitted.toxic, names), T.StructType([*docs.schema.fields, *map(T.StructField, names, kinds)]))
 
 
-def gumbel(doc_id: Column, seed: int = SEED) -> Column:
+def gumbel(doc_id: Column, seed: Column | int = SEED) -> Column:
     """Standard Gumbel noise, fixed by doc_id and seed."""
-    unit = (F.expr("0.5D") + F.pmod(F.xxhash64(doc_id.cast("string"), F.lit(seed)), F.lit(1 << 52))) / float(1 << 52)
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
+    unit = (F.expr("0.5D") + F.pmod(F.xxhash64(doc_id.cast("string"), seed), F.lit(1 << 52))) / float(1 << 52)
     return -F.log(-F.log(unit))
 
 
@@ -259,33 +294,28 @@ def kth_largest(keys: DataFrame, k: int, small: int = 5000, bins: int = 1024) ->
             above += tally[b].n
 
 
-def _key(name: str, doc_id: Column) -> Column:
-    """The log weight with noise; null for toxic documents."""
-    return F.when(~F.col(f"{name}_toxic"), F.col(name) + gumbel(doc_id))
-
-
-def cut(keys: DataFrame, level: float) -> float:
-    """The smallest key of the sample: as many keys as documents with a key whose log weight is ``level`` or more."""
-    k = keys.where((F.col("weight") >= level) & F.col("key").isNotNull()).count()
-    return kth_largest(keys, k) if k else float("inf")
+def resample(weighed: DataFrame, fitted: Fitted, k: int | None, temperature: float | None, seed: int, prefix: str = "") -> tuple[DataFrame, float]:
+    """(``weighed``, staged, with its key, null for toxic documents and those without a weight; the k-th largest key)."""
+    weight = F.col(f"{prefix}log_weight")
+    noisy = weight / float(temperature or fitted.temperature) + gumbel(F.col("doc_id").cast("long"), seed)
+    keys = stage(weighed.withColumn(f"{prefix}key", F.when(~F.col(f"{prefix}toxic"), noisy)), "keys")
+    own = keys.where(F.col(f"{prefix}key").isNotNull()).select(weight.alias("weight"), F.col(f"{prefix}key").alias("key"))
+    n = own.where(F.col("weight") >= fitted.level).count() if k is None else min(k, own.count())
+    return keys, kth_largest(own, n) if n else float("inf")
 
 
-def select(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, log_weight, key (null if toxic) and kept of each row of ``docs``."""
-    ratios, level, toxic = fit(docs, labels)
+def select(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float | None = None, seed: int = SEED) -> DataFrame:
+    """doc_id, log_ratio, log_weight, toxic, key and kept of each row of ``docs``; k and temperature by the labels if not given."""
+    fitted = fit(docs, labels)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keys = stage(weigh(plain, ratios, "weight", toxic).select("doc_id", "weight", _key("weight", F.col("doc_id")).alias("key")), "keys")
-    least = cut(keys, level)
-    return keys.select("doc_id", F.col("weight").alias("log_weight"), "key", F.coalesce(F.col("key") >= least, F.lit(False)).alias("kept"))
+    keys, least = resample(weigh(plain, fitted).drop("text"), fitted, k, temperature, seed)
+    return keys.select("doc_id", "log_ratio", "log_weight", "toxic", "key", F.coalesce(F.col("key") >= least, F.lit(False)).alias("kept"))
 
 
-def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float | None = None, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` that ``select`` keeps, with their columns."""
-    ratios, level, toxic = fit(docs, labels)
+    fitted = fit(docs, labels)
     own = [f"`{c}`" for c in docs.columns]
-    name = "_log_weight" + "_" * max((len(c) for c in docs.columns), default=0)
-    weighed = weigh(docs.withColumn("text", F.col("text").cast("string")), ratios, name, toxic)
-    keyed = weighed.withColumn(name, _key(name, F.col("doc_id").cast("long")))
-    weights = weigh(docs.select("doc_id", F.col("text").cast("string").alias("text")), ratios, "weight", toxic)
-    least = cut(stage(weights.select("weight", _key("weight", F.col("doc_id").cast("long")).alias("key")), "keys"), level)
-    return keyed.where(F.col(name) >= least).select(*own)
+    prefix = "_" * (1 + max((len(c) for c in docs.columns), default=0))
+    keys, least = resample(weigh(docs.withColumn("text", F.col("text").cast("string")), fitted, prefix), fitted, k, temperature, seed, prefix)
+    return keys.where(F.col(f"{prefix}key") >= least).select(*own)
