@@ -6,10 +6,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillforge.llm import langid, lm, quality, registry
+from quillforge.llm import kernels, langid, lm, quality, registry
 
 ODD = [(-1, None, "en", "x"), (-2, "", "de", "x"), (-3, "123 !!! ---", None, "x"), (None, "the end of the", "en", "x"), (-5, "Ω", "en", "x"), (-6, "zu " * 20_000, "de", "x"), (-6, "zu " * 20_000, "de", "x")]
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -78,7 +79,82 @@ def test_quality_leaves_out_toxic_documents(spark):
     assert sum(not kept[i] for i in held) >= 0.5 * len(held)
     assert not any(kept[i] for i, _ in rows)
     # Labels that cannot be told apart by toxicity leave all in.
-    assert len(quality.fit(docs, own.withColumn("toxic", F.lit(0)))[2]) == 0
+    assert len(quality.fit(docs, own.withColumn("toxic", F.lit(0))).toxic) == 0
+
+
+def plain_features(text):
+    """Buckets of a text's words, pairs and runs of shapes, one by one."""
+    words = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode())
+    one = lambda w: int(kernels.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]), None)[0])
+    kind = lambda b: 1 if 97 <= b < 123 else 2 if 65 <= b < 91 else 3 if 48 <= b < 58 else 4 if b >= 128 else 8 + b
+    hashes = [one(w) for w in words]
+    shapes = [kind(w[0]) * 4096 + kind(w[-1]) * 8 + 2 * (i > 0 and words[i - 1] == w) + (len(w) > 20) for i, w in enumerate(words)]
+    shapes = [int(kernels.mix(np.array([x], np.uint64))[0]) for x in shapes]
+
+    def runs(values, n):
+        if not values:
+            return []
+        n = min(n, len(values))
+        out = [sum(v * int(f) for v, f in zip(values[i : i + n], kernels.SHINGLE_FACTORS, strict=False)) + n * 0xD6E8FEB86659FD93 for i in range(len(values) - n + 1)]
+        return [int(x) for x in kernels.mix(np.array([x % 2**64 for x in out], np.uint64))]
+
+    return [h % quality.BUCKETS for h in [*hashes, *runs(hashes, 2), *runs(shapes, 3)]]
+
+
+def test_resampling_against_plain_code(spark, docs, tiny):
+    """log_ratio, log_weight, key and kept recomputed one document at a time, for a k and a temperature of our own."""
+    labels = spark.read.parquet(f"{tiny}/labels.parquet")
+    docs = docs.where("doc_id <> -6 or doc_id is null").withColumn("key", F.lit(1)).withColumn("toxic", F.lit("x"))
+    rows = docs.select("doc_id", "text").collect()
+    known = {r.doc_id: r.quality and not r.toxic for r in labels.collect()}
+    raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    own = {r.doc_id: plain_features(r.text) for r in rows}
+    for d, f in own.items():
+        for b in f:
+            raw[b] += 1
+            target[b] += bool(known.get(d))
+    base = [(x + 1e-3) / (raw.sum() + 1e-3 * len(raw)) for x in raw]
+    smooth = quality.SMOOTH * len(raw)
+    ratio = [math.log((t + smooth * b) / (target.sum() + smooth) / b) for t, b in zip(target, base, strict=True)]
+    got = {r.doc_id: r for r in quality.select(docs, labels, k=60, temperature=7.0, seed=3).collect()}
+    noise = {r.doc_id: r.g for r in docs.select("doc_id", quality.gumbel(F.col("doc_id"), 3).alias("g")).collect()}
+    keys = {}
+    for d, f in own.items():
+        if not f:
+            assert got[d].log_ratio is None and got[d].log_weight is None and not got[d].kept
+            continue
+        total = sum(ratio[b] for b in f)
+        assert got[d].log_ratio == pytest.approx(total, rel=1e-9, abs=1e-9) and got[d].log_weight == pytest.approx(100 * total / len(f), rel=1e-9, abs=1e-9)
+        if not got[d].toxic:
+            keys[d] = got[d].log_weight / 7.0 + noise[d]
+            assert got[d].key == pytest.approx(keys[d], rel=1e-12)
+    assert {d for d, r in got.items() if r.kept} == set(sorted(keys, key=keys.get, reverse=True)[:60])
+    kept = quality.keep(docs, labels, k=60, temperature=7.0, seed=3)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, r in got.items() if r.kept}
+
+
+def test_samples_follow_the_weights(spark):
+    """Over many seeds, first places come in proportion to exp(weight / temperature); the default temperature changes samples."""
+    weights = [0.0, 1.0, 2.0, 3.0, 3.5]
+    rows = spark.createDataFrame(list(enumerate(weights)), "doc_id long, w double").crossJoin(spark.range(4000).toDF("seed"))
+    keyed = rows.select("seed", "doc_id", (F.col("w") / 2 + quality.gumbel(F.col("doc_id"), F.col("seed"))).alias("key"))
+    firsts = collections.Counter(r.d for r in keyed.groupBy("seed").agg(F.max_by("doc_id", "key").alias("d")).collect())
+    share = np.exp(np.array(weights) / 2) / np.exp(np.array(weights) / 2).sum()
+    assert all(abs(firsts[i] / 4000 - p) < 4 * math.sqrt(p * (1 - p) / 4000) for i, p in enumerate(share))
+
+
+def test_the_noise_matters(spark):
+    """By the default temperature, other seeds choose other documents at the margin, and cost hardly a good one."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    fitted = quality.fit(docs, labels)
+    weighed = quality.stage(quality.weigh(docs.select("doc_id", "text"), fitted).drop("text"), "weighed")
+    samples = []
+    for seed in range(4):
+        keys, least = quality.resample(weighed, fitted, None, None, seed)
+        samples.append({r.doc_id for r in keys.where(F.col("key") >= least).collect()})
+    good = {r.doc_id for r in labels.where("quality = 1 and toxic = 0").collect()}
+    assert len(set(map(len, samples))) == 1 and len(set.union(*samples) - set.intersection(*samples)) > 0
+    assert all(len(s & good) >= 0.98 * len(good) for s in samples)
 
 
 def test_kth_largest(spark):
@@ -88,24 +164,71 @@ def test_kth_largest(spark):
         assert quality.kth_largest(keys, k, small=20, bins=4) == want[k - 1]
 
 
+def plain_score(model, vocabulary, numbers, shares):
+    """A text's log10 probability, token by token, every softmax over all words of the model."""
+    t, n, total = model.tables, len(model.unigram), 0.0
+    for i, (w, share) in enumerate(zip(numbers, shares, strict=True)):
+        q = sum(t["position"][p].astype(float) * t["context"][numbers[i - p - 1] if i > p else vocabulary.end] for p in range(lm.POSITIONS))
+        groups = [math.exp(q @ g[:-1] + g[-1]) for g in t["group"].astype(float)]
+        low = w // model.size * model.size
+        words = {v: math.exp(q @ t["word"][v, :-1].astype(float) + t["word"][v, -1]) for v in range(low, min(low + model.size, n))}
+        total += math.log10(groups[w // model.size] / sum(groups) * words[w] / sum(words.values())) + share
+    return total
+
+
 def test_scores(spark, docs):
-    docs = docs.where("doc_id >= -5 or doc_id is null")
+    """Counts, base and score against a plain recount, with all counts sent around and with 300 of them."""
+    docs = docs.withColumn("n_tokens", F.lit("x")).withColumn("held_out", F.lit(1))
     texts = [(r.doc_id, (r.text or "").encode().lower().split()) for r in docs.collect()]
     held = {d: d is None or zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in texts}
     counts = collections.Counter(w for d, t in texts if not held[d] for w in [*t, None])
     n, v = sum(counts.values()), len(counts)
-    rows = {r.doc_id: r for r in lm.score(docs).collect()}
-    for d, t in texts:
-        r, own = rows[d], [*t, None]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[d], len(own), sum(counts[w] > 0 for w in own), n)
-        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own), rel=1e-9)
-    out = [r for r in rows.values() if r.held_out]
-    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+    for counted in (lm.COUNTED, 300):
+        made = {}
+
+        def fitted(own, counted=counted, made=made):
+            made["fit"] = lm.fit(own, counted=counted)
+            return made["fit"]
+
+        found = lm.score(docs, fitted).collect()
+        rows = {r.doc_id: r for r in found}
+        assert len(found) == len(texts) and len({tuple(r) for r in found if r.doc_id == -6}) == 1
+        _, vocabulary, model = made["fit"]
+        hash_of = lambda w: lm.END if w is None else lm.tokens(*lm.K.buffers(pa.array([w])))[0][0]  # noqa: B023, E731
+        numbers = {w: int(vocabulary.look_up(np.array([hash_of(w)], np.uint64))[1][0]) for w in {w for _, t in texts for w in t} | {None}}
+        rest = [w for w in counts if not numbers[w]]
+        assert vocabulary.rest == sum(counts[w] for w in rest) and len(vocabulary.hashes) <= counted
+        for i, (d, t) in enumerate(texts):
+            r, own = rows[d], [*t, None]
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[d], len(own), sum(counts[w] > 0 for w in own), n)
+            assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own), rel=1e-9)
+            if len(own) < 200 and i % 5 == 0 or d in (-1, -5, None):
+                shares = [0.0 if numbers[w] else math.log10((counts[w] + 1) / (vocabulary.rest + len(rest) + 1)) for w in own]
+                assert r.score == pytest.approx(plain_score(model, vocabulary, [numbers[w] for w in own], shares), rel=1e-4, abs=1e-3)
+        out = [r for r in rows.values() if r.held_out and r.doc_id is not None and r.doc_id >= 0]
+        assert sum(r.score for r in out) > sum(r.base_score for r in out)
     assert lm.score(docs.limit(0)).count() == 0
+    assert {r.score for r in lm.score(docs.where("doc_id is null")).collect()} == {0.0}
 
 
 def test_probabilities_sum_to_one():
-    counts = np.random.default_rng(3).poisson(2, (20, 20)).astype(float)
-    table = lm.train(counts)
-    assert np.allclose((10**table).sum(axis=1), 1)
-    assert np.allclose(lm.train(np.zeros((4, 4))), math.log10(0.25))
+    rng = np.random.default_rng(3)
+    for words in (1, 2, 90, 500):
+        model = lm.Model.start(np.sort(rng.poisson(20, words))[::-1])
+        trainer = lm.Trainer(model, 1)
+        for _ in range(5):
+            trainer.read(rng.integers(0, words, (3000, lm.POSITIONS)), rng.integers(0, words, 3000))
+        before = np.repeat(rng.integers(0, words, (1, lm.POSITIONS)), words, axis=0)
+        assert (10 ** trainer.model.log10(before, np.arange(words))).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_training_learns_what_follows():
+    """A language in which each word tells the next: far better than the unigram after some passes."""
+    rng = np.random.default_rng(4)
+    model = lm.Model.start(np.full(40, 1000))
+    trainer = lm.Trainer(model, 2)
+    for _ in range(30):
+        before = rng.integers(0, 40, (8000, lm.POSITIONS))
+        trainer.read(before, (before[:, 0] * 7 + 3) % 40)
+    before = rng.integers(0, 40, (500, lm.POSITIONS))
+    assert trainer.model.log10(before, (before[:, 0] * 7 + 3) % 40).mean() > math.log10(0.25) > model.log10(before, before[:, 0]).mean()
