@@ -1,28 +1,38 @@
 """Personal data spans by weak supervision, in DataFrame and SQL functions only.
 
-Method: base patterns (email, ip, card, phone) always count. Beyond them, these are candidates:
-words with a digit, adjacent groups of digits as one, name=value and secret:value words, any word
-behind a secret word with a colon or equals sign, and runs of capitalised words behind a person
-word. Regex and context labelers vote on them (1 personal or secret, -1 harmless, 0 no view). Expectation-maximisation over the counts of vote patterns estimates how each labeler votes
-on either kind of candidate, hence how likely each pattern is personal. Those likelihoods are the
-soft labels of the final classifier of candidates, a naive Bayes model over shape and context
-features, which decides about every candidate; accepted ones are added as spans of kind ``secret``.
+Method: base patterns (email, ip, card, phone) always count. Beyond them, these are candidates: words
+with a digit, adjacent groups of digits as one (base matches that fail their check among them),
+account numbers in groups of four, name=value and name:value words, any word behind a colon or equals
+sign, and runs of capitalised words. LABELERS vote on them (1 personal or secret, -1
+harmless, 0 no view): regexes, gazetteers of words and given names of four languages on values and on
+the words before them, and context. Expectation-maximisation over the counts of vote patterns, from the
+labelers' prior reliabilities (PRIOR, worth STRENGTH candidates), estimates how each votes on either kind of
+candidate, hence how likely each pattern is personal; a candidate that nobody speaks about counts as
+harmless but for a chance of UNSPOKEN. With these soft labels the final classifier is trained: its features are
+the votes, weighted by the estimated reliabilities, and shape and context features, weighted by naive
+Bayes at SHAPE of their log-odds, as shapes and votes overlap. It decides about every candidate; accepted ones
+are added as spans, whose kind the votes tell: iban, name, number or secret.
+
+Left out: names without a capitalised word beside them or without a given name or cue, streets, and
+digit-free secrets without a sign or cue.
 
 Scale: texts are scanned where they are; only counts of vote and feature patterns are shuffled
-(combined map-side). There are at most 3**8 vote patterns and a few thousand feature patterns however
+(combined map-side). There are some hundreds of vote patterns and a few thousand feature patterns however
 large the corpus is; EM runs inside one SQL expression and some tens of weights return as literals.
 
 Positions: a pattern's matches and the pieces between them alternate, so running sums of their
 lengths in code points are the spans. Patterns use possessive runs and start only where a run starts,
-so that time stays linear in a text.
+so that time stays linear in a text. The context of a candidate is the CONTEXT code points before it.
 
-Cases: null and empty texts have no spans; equal rows have equal spans; with no candidates nothing
-is added; clashing or extra columns are not read, and ``redact`` passes them through.
+Cases: null and empty texts have no spans; very long texts are taken whole; equal rows have equal spans; with
+no candidates nothing is added; empty tables give no rows; clashing or extra columns are not read, and
+``redact`` passes them through.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,26 +47,56 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-KINDS = (*PATTERNS, "secret")
+#: Kinds of added spans.
+ADDED = ("iban", "name", "number", "secret")
 #: A text without this can't match.
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string,before:string>>"
+CONTEXT = 40
+
+# Gazetteers: English, German, French, Spanish.
+SECRET_WORDS = (
+    "password", "passwd", "pwd", "passphrase", "passcode", "secret", "token", "apikey", "api_key", "access_key", "secret_key", "auth_token", "bearer", "credential", "credentials", "key", "pin",
+    "passwort", "kennwort", "zugangscode", "geheimnis", "schlüssel", "zugangsschlüssel", "losung",
+    "motdepasse", "mot_de_passe", "passe", "jeton", "clé", "cle", "code_secret",
+    "contraseña", "contrasena", "clave", "secreto", "llave", "ficha", "clave_api",
+)
+PERSON_WORDS = (
+    "call", "tel", "phone", "telephone", "mobile", "cell", "fax", "ssn", "passport", "iban", "account", "contact", "license", "card", "visa", "mastercard", "from", "name", "mr", "mrs", "ms", "dr",
+    "telefon", "handy", "mobil", "rufnummer", "reisepass", "ausweis", "konto", "kontonummer", "kontakt", "karte", "kreditkarte", "steuernummer", "herr", "frau",
+    "téléphone", "portable", "appelez", "passeport", "compte", "carte", "monsieur", "madame", "nom",
+    "teléfono", "móvil", "llame", "pasaporte", "cuenta", "contacto", "tarjeta", "dni", "señor", "señora", "nombre",
+)
+PLAIN_WORDS = (
+    "page", "pages", "chapter", "vol", "volume", "year", "version", "figure", "fig", "table", "step", "section", "no", "part", "line", "lines", "item", "items", "article", "room", "level", "about",
+    "seite", "seiten", "kapitel", "band", "jahr", "abbildung", "abb", "tabelle", "schritt", "abschnitt", "teil", "zeile", "nr", "artikel", "etwa",
+    "chapitre", "tome", "année", "tableau", "étape", "partie", "ligne", "environ",
+    "página", "páginas", "capítulo", "volumen", "año", "versión", "figura", "tabla", "paso", "sección", "parte", "línea", "artículo", "unos",
+)
+GIVEN_NAMES = (
+    "james", "mary", "john", "patricia", "robert", "jennifer", "michael", "linda", "william", "elizabeth", "david", "barbara", "richard", "susan", "joseph", "jessica", "thomas", "sarah", "charles", "karen", "daniel", "nancy", "matthew", "lisa", "anthony", "emily", "mark", "donna", "paul", "carol", "steven", "ruth", "andrew", "sharon", "george", "laura", "kevin", "alice", "brian", "jane", "peter", "anna", "oliver", "emma", "henry", "grace",
+    "hans", "ursula", "klaus", "monika", "wolfgang", "petra", "jürgen", "sabine", "dieter", "renate", "stefan", "heike", "andreas", "katharina", "uwe", "birgit", "lukas", "claudia", "jonas", "silke", "felix", "greta", "maximilian", "heidi", "fritz", "ingrid", "matthias", "johanna",
+    "jean", "marie", "pierre", "nathalie", "michel", "isabelle", "philippe", "sylvie", "alain", "catherine", "nicolas", "camille", "julien", "chloé", "antoine", "léa", "louis", "manon", "françois", "céline", "luc", "élodie", "jacques", "amélie", "rené", "hélène",
+    "josé", "carmen", "antonio", "maría", "juan", "josefa", "manuel", "isabel", "francisco", "dolores", "luis", "pilar", "javier", "teresa", "miguel", "ana", "carlos", "lucía", "jesús", "elena", "alejandro", "paula", "diego", "sofía", "pablo", "marta", "jorge", "rosa", "fernando", "inés",
+)
+_FILLERS = "is|ist|lautet|est|es"
 
-SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "bearer", "credential", "key")
-PERSON_WORDS = ("call", "tel", "phone", "mobile", "fax", "ssn", "passport", "iban", "account", "contact", "license")
-PLAIN_WORDS = ("page", "pages", "chapter", "vol", "volume", "year", "version", "figure", "fig", "table", "step", "section", "no")
 EM_ROUNDS = 25
+#: How often a labeler says -1, 0 and 1 of harmless and of personal candidates, before any are seen.
+PRIOR, STRENGTH = ((0.25, 0.73, 0.02), (0.03, 0.72, 0.25)), 20.0
+#: Chance that a candidate nobody speaks about is personal.
+UNSPOKEN = 0.02
+#: Candidates' worth of shrinkage of shape features, and the part of their log-odds that counts.
+SMOOTH, SHAPE = 20.0, 0.5
+
 #: A word of digits and their punctuation; several, one space apart, are one candidate.
 _GROUP = r"[(]?+[0-9][0-9().-]*+(?=[\s,;:!?]|$)"
-_SECRET = rf"(?i:{'|'.join(SECRET_WORDS)})"
-_PERSON = rf"(?i:{'|'.join(PERSON_WORDS)})"
-CANDIDATE = (
-    rf"(?<!\S)(?:[+]?+{_GROUP}(?:\x20{_GROUP})++|(?=[^\s0-9]*+[0-9])\S++|[A-Za-z_]++=\S++|{_SECRET}:\S++"
-    rf"|(?<=(?<![A-Za-z0-9_]){_SECRET}\x20?[:=]\s)\S++|(?<=(?<![A-Za-z0-9_]){_PERSON}:?\x20)\p{{Lu}}\p{{Ll}}++(?:\x20\p{{Lu}}\p{{Ll}}++)++)"
-)
+_RUN = r"\p{Lu}\p{Ll}++(?:\x20\p{Lu}\p{Ll}++)++"
+_ACCOUNT = r"[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,4})?+(?![A-Za-z0-9])"
+CANDIDATE = rf"(?<!\S)(?:{_ACCOUNT}|[+]?+{_GROUP}(?:\x20{_GROUP})++|(?=[^\s0-9]*+[0-9])\S++|[\p{{L}}_]++[:=]\S++|(?<=[:=]\s)\S++|{_RUN})"
 #: A text without this has no candidate.
-_MAY = rf"[0-9=]|{_SECRET}\x20?:|{_PERSON}:?\x20\p{{Lu}}"
+_MAY = r"[0-9=:]|\p{Ll}\x20\p{Lu}\p{Ll}"
 
 
 def _digits(value: Column) -> Column:
@@ -77,8 +117,8 @@ def _found(text: Column, kind: str, pattern: str, valid: Callable[[Column], Colu
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.expr(f"cast(array() as {_SPAN})").alias("out"))
 
     def step(a: Column, z: Column) -> Column:
-        before = F.right(F.concat(a["tail"], z["gap"]), F.lit(40))
-        tail = F.right(F.concat(before, F.coalesce(z["hit"], F.lit(""))), F.lit(40))
+        before = F.right(F.concat(a["tail"], z["gap"]), F.lit(CONTEXT))
+        tail = F.right(F.concat(before, F.coalesce(z["hit"], F.lit(""))), F.lit(CONTEXT))
         begin = a["at"] + F.length(z["gap"])
         end = begin + F.coalesce(F.length(z["hit"]), F.lit(0))
         span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), z["hit"].alias("value"), before.alias("before"))
@@ -113,30 +153,60 @@ def candidates(text: Column, base: Column) -> Column:
 
 
 def _previous(s: Column) -> Column:
-    """The word before a candidate, lower-cased."""
-    return F.lower(F.regexp_extract(s["before"], r"([A-Za-z_]++)[^A-Za-z0-9_]*+$", 1))
+    """The word before a candidate, lower-cased; a word for *is* between them does not count."""
+    return F.lower(F.regexp_extract(s["before"], rf"(?iu)([\p{{L}}_]++)(?:[^\p{{L}}\p{{N}}]*+\s(?:{_FILLERS}))?+[^\p{{L}}\p{{N}}_]*+$", 1))
+
+
+def _account(value: Column) -> Column:
+    """Whether it is an international account number by its check digits."""
+    plain = F.replace(value, F.lit(" "), F.lit(""))
+    turned = F.split(F.concat(F.substr(plain, F.lit(5)), F.left(plain, F.lit(4))), "")
+    digit = lambda c: F.ascii(c) - F.when(c >= "A", 55).otherwise(48)
+    rest = F.aggregate(turned, F.lit(0), lambda a, c: F.when(c == "", a).otherwise((a * F.when(c >= "A", 100).otherwise(10) + digit(c)) % 97))
+    return plain.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$") & (rest == 1)
+
+
+#: What may vote, in order.
+LABELERS = ("hex", "format", "account", "plain number", "secret word", "plain word", "person word", "length", "given name", "mixed characters")
 
 
 def votes(s: Column) -> Column:
-    """What each labeler says about a candidate."""
+    """What each of LABELERS says about a candidate."""
     v, before = s["value"], _previous(s)
-    name = F.lower(F.regexp_extract(v, r"^([A-Za-z_]++)[=:]", 1))
-    n, digits = F.length(v), F.length(_digits(v))
-    groups = v.rlike(r"^[0-9][0-9().\x20-]*\x20")
+    name = F.lower(F.regexp_extract(v, r"^([\p{L}_]++)[=:]", 1))
+    own = F.regexp_replace(v, r"^[\p{L}_]++[=:]", "")
+    n, digits = F.length(own), F.length(_digits(v))
+    words = F.split(F.lower(v), " ")
+    groups, run = v.rlike(r"^[0-9(][0-9().\x20-]*\x20"), v.rlike(rf"^{_RUN}$")
+    named = run & (F.exists(words, lambda w: w.isin(*GIVEN_NAMES)) | words[0].isin(*PERSON_WORDS))
+    shaped = v.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9\x20]{11,40}$")
 
     def vote(yes: Column, no: Column | None = None) -> Column:
         out = F.when(yes, F.lit(1))
         return (out if no is None else out.when(no, F.lit(-1))).otherwise(F.lit(0))
 
     return F.array(
-        vote(v.rlike(r"^[0-9a-fA-F]{24,}$")),
-        vote(v.rlike(r"^(?:AKIA|ASIA)[0-9A-Z]{12,}$|^(?:sk|ghp|xox[a-z])[-_][0-9A-Za-z-]{12,}$")),
-        vote(v.rlike(r"^[A-Za-z_]++[=:]\S{6,}$")),
-        vote(F.lit(False), v.rlike(r"^[0-9]{1,4}(?:[.,:/-][0-9]{1,4})*$") | (groups & ~digits.between(7, 19))),
-        vote(before.isin(*SECRET_WORDS) | name.isin(*SECRET_WORDS)),
+        vote(own.rlike(r"^(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{24,}$")),
+        vote(own.rlike(r"^(?:AKIA|ASIA)[0-9A-Z]{12,}$|^(?:sk|pk|rk|ghp|gho|ghs|glpat|xox[a-z])[-_][0-9A-Za-z_-]{12,}$|^AIza[0-9A-Za-z_-]{30,}$|^eyJ[0-9A-Za-z_-]{10,}\.")),
+        vote(F.when(shaped, _account(v)).otherwise(False)),
+        vote(F.lit(False), v.rlike(r"^[0-9]{1,4}(?:[.,:/-][0-9]{1,4})*(?:%|st|nd|rd|th|er|e|º)?$") | (groups & ~digits.between(7, 19))),
+        vote((before.isin(*SECRET_WORDS) & ~run) | name.isin(*SECRET_WORDS)),
         vote(F.lit(False), before.isin(*PLAIN_WORDS)),
-        vote(before.isin(*PERSON_WORDS) & ((digits >= 5) | v.rlike(r"^\p{Lu}\p{Ll}+\x20"))),
-        vote((n >= 16) & v.rlike("[A-Za-z]"), n <= 5),
+        vote(before.isin(*PERSON_WORDS) & ((digits >= 5) | run)),
+        vote((n >= 16) & own.rlike("[0-9]") & own.rlike("[A-Za-z]"), (n <= 5) | (run & ~named & ~before.isin(*PERSON_WORDS))),
+        vote(named),
+        vote((n >= 8) & own.rlike("[0-9]") & own.rlike("[a-z]") & own.rlike("[A-Z]")),
+    )
+
+
+def _kind(v: Column, vote: Column) -> Column:
+    said = lambda name: vote[LABELERS.index(name)] == 1
+    return (
+        F.when(said("account") | (said("person word") & v.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9\x20]{11,40}$")), "iban")
+        .when(said("hex") | said("format") | said("secret word"), "secret")
+        .when(v.rlike(rf"^{_RUN}$"), "name")
+        .when(said("person word"), "number")
+        .otherwise("secret")
     )
 
 
@@ -154,56 +224,78 @@ def features(s: Column) -> Column:
 
 
 def _em(patterns: DataFrame) -> DataFrame:
-    """(v, p): how likely each vote pattern is personal, for ``patterns`` (v, n), in one expression."""
-    by = "(x, i) -> (x.n * {w})"
+    """One row (prior, yes, no, v, p) for each of ``patterns`` (v, n): the reliabilities, and how likely the pattern is personal."""
+    last = len(LABELERS) - 1
     weight = {1: "post[i]", 0: "(1 - post[i])"}
 
     def total(y: int) -> str:
-        return f"aggregate(transform(pats, {by.format(w=weight[y])}), 0D, (s, t) -> s + t)"
+        return f"aggregate(transform(pats, (x, i) -> x.n * {weight[y]}), 0D, (s, t) -> s + t)"
 
     def share(y: int) -> str:
-        # Of each labeler, in order: how often it says -1, 0 and 1 on this kind, smoothed by one.
-        return f"transform(sequence(0, 7), j -> transform(sequence(-1, 1), c -> (1 + aggregate(transform(pats, (x, i) -> if(x.v[j] = c, x.n * {weight[y]}, 0D)), 0D, (s, t) -> s + t)) / (3 + {total(y)})))"
-
-    model = f"named_struct('prior', (1 + {total(1)}) / (2 + {total(1)} + {total(0)}), 'yes', {share(1)}, 'no', {share(0)})"
-    odds = "ln(m.prior) - ln(1 - m.prior) + aggregate(sequence(0, 7), 0D, (s, j) -> s + ln(m.yes[j][x.v[j] + 1]) - ln(m.no[j][x.v[j] + 1]))"
-    estep = f"transform(pats, x -> 1 / (1 + exp(-({odds}))))"
-    start = "transform(pats, x -> 1 / (1 + exp(-(2D * aggregate(x.v, 0, (s, t) -> s + t) - 0.5D))))"
+        # Of each labeler, in order: how often it says -1, 0 and 1 on this kind.
+        before = f"array({', '.join(f'{STRENGTH * p!r}D' for p in PRIOR[y])})[c + 1]"
+        return f"transform(sequence(0, {last}), j -> transform(sequence(-1, 1), c -> ({before} + aggregate(transform(pats, (x, i) -> if(x.v[j] = c, x.n * {weight[y]}, 0D)), 0D, (s, t) -> s + t)) / ({STRENGTH!r}D + {total(y)})))"
+
+    model = f"named_struct('prior', (1 + {total(1)}) / (4 + {total(1)} + {total(0)}), 'yes', {share(1)}, 'no', {share(0)})"
+    odds = f"ln(m.prior) - ln(1 - m.prior) + aggregate(sequence(0, {last}), 0D, (s, j) -> s + ln(m.yes[j][x.v[j] + 1]) - ln(m.no[j][x.v[j] + 1]))"
+    estep = f"transform(pats, x -> if(exists(x.v, w -> w <> 0), 1 / (1 + exp(-({odds}))), {UNSPOKEN!r}D))"
+    start = f"transform(pats, x -> if(exists(x.v, w -> w <> 0), 1 / (1 + exp(-(2D * aggregate(x.v, 0, (s, t) -> s + t) - 0.5D))), {UNSPOKEN!r}D))"
     rounds = f"aggregate(sequence(1, {EM_ROUNDS}), {start}, (post, k) -> element_at(transform(array({model}), m -> {estep}), 1))"
     packed = patterns.select("v", F.col("n").cast("double").alias("n")).agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("pats"))
-    done = packed.where("size(pats) > 0").withColumn("post", F.expr(rounds))
-    return done.select(F.explode(F.arrays_zip("pats", "post")).alias("z")).select(F.col("z.pats.v").alias("v"), F.col("z.post").alias("p"))
+    done = packed.where("size(pats) > 0").withColumn("post", F.expr(rounds)).withColumn("m", F.expr(model)).withColumn("post", F.expr(estep))
+    return done.select("m.prior", "m.yes", "m.no", F.explode(F.arrays_zip("pats", "post")).alias("z")).select("prior", "yes", "no", F.col("z.pats.v").alias("v"), F.col("z.post").alias("p"))
+
+
+@dataclass
+class Weights:
+    """The final classifier: the prior's log-odds, each labeler's for -1, 0 and 1, and each shape feature's."""
 
+    prior: float
+    vote: list[list[float]]
+    shape: dict[str, float]
 
-def train(docs: DataFrame) -> dict[str, float]:
-    """Weights of the final classifier: log-odds of each feature value, and '' for the prior."""
+
+def train(docs: DataFrame) -> Weights | None:
+    """The classifier of the candidates in ``docs`` (text); None without any."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(text.alias("text")).where(F.col("text").rlike(_MAY))
     own = own.withColumn("base", base_spans(F.col("text")))
     # A second use of base keeps the optimiser from putting its patterns inside the candidates' loop.
     own = own.select(F.explode(F.when(F.size("base") >= 0, candidates(F.col("text"), F.col("base")))).alias("s"))
     counts = stage(own.select(votes(F.col("s")).alias("v"), features(F.col("s")).alias("f")).groupBy("v", "f").agg(F.count("*").alias("n")), "votes")
-    soft = counts.join(_em(counts.groupBy("v").agg(F.sum("n").alias("n"))), "v")
+    model = stage(_em(counts.groupBy("v").agg(F.sum("n").alias("n"))), "reliabilities")
+    one = model.select(F.round("prior", 9).alias("prior"), "yes", "no").first()
+    if one is None:
+        return None
+    soft = counts.join(F.broadcast(model.select("v", "p")), "v")
     sums = soft.select(F.explode(F.concat("f", F.array(F.lit("")))).alias("f"), (F.col("n") * F.col("p")).alias("yes"), (F.col("n") * (1 - F.col("p"))).alias("no")).groupBy("f").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     rows = {r.f: (r.yes, r.no) for r in sums.withColumn("yes", F.round("yes", 6)).withColumn("no", F.round("no", 6)).collect()}
-    if not rows:
-        return {}
-    yes, no = rows[""]
-    odds = {f: F.log((F.lit(a) + 1) / (F.lit(yes) + 2)) - F.log((F.lit(b) + 1) / (F.lit(no) + 2)) for f, (a, b) in rows.items() if f}
-    odds[""] = F.log((F.lit(yes) + 1) / (F.lit(no) + 1))
-    one = docs.sparkSession.range(1).select(*(F.round(c, 9).alias(f"w{i}") for i, c in enumerate(odds.values()))).first()
-    return dict(zip(odds, one, strict=True))
+    yes, no = rows.pop("")
+    part = {f: (a + b) / (yes + no) for f, (a, b) in rows.items()}
+    odds = {f: F.log((F.lit(a) + SMOOTH * part[f]) / (F.lit(yes) + SMOOTH)) - F.log((F.lit(b) + SMOOTH * part[f]) / (F.lit(no) + SMOOTH)) for f, (a, b) in rows.items()}
+    flat = [F.log(F.lit(one.prior) / (1 - F.lit(one.prior))), *(F.log(F.lit(y)) - F.log(F.lit(n)) for ys, ns in zip(one.yes, one.no, strict=True) for y, n in zip(ys, ns, strict=True)), *odds.values()]
+    got = list(docs.sparkSession.range(1).select(*(F.round(c, 9).alias(f"w{i}") for i, c in enumerate(flat))).first())
+    each = got[1 : 1 + 3 * len(LABELERS)]
+    return Weights(got[0], [each[i : i + 3] for i in range(0, len(each), 3)], dict(zip(odds, got[1 + 3 * len(LABELERS) :], strict=True)))
+
+
+def _accepted(found: Column, weights: Weights | None) -> Column:
+    """Candidates the classifier takes, as spans of their kinds."""
+    if weights is None:
+        return F.filter(found, lambda s: F.lit(False))
+    table = F.create_map(*(F.lit(x) for pair in sorted(weights.shape.items()) for x in pair))
+    each = F.array(*(F.array(*map(F.lit, row)) for row in weights.vote))
+    judged = F.transform(found, lambda s: F.struct(s.alias("s"), votes(s).alias("v"), features(s).alias("f")))
 
+    def score(x: Column) -> Column:
+        said = F.aggregate(F.zip_with(x["v"], each, lambda v, w: F.element_at(w, v + 2)), F.lit(weights.prior), lambda a, w: a + w)
+        return F.aggregate(x["f"], said, lambda a, f: a + SHAPE * F.coalesce(F.element_at(table, f), F.lit(0.0)))
 
-def _accepted(found: Column, weights: dict[str, float]) -> Column:
-    if not weights:
-        return F.filter(found, lambda s: F.lit(False))
-    table = F.create_map(*(F.lit(x) for pair in sorted(weights.items()) for x in pair))
-    score = lambda s: F.aggregate(features(s), F.lit(weights[""]), lambda a, f: a + F.coalesce(F.element_at(table, f), F.lit(0.0)))
-    return F.filter(found, lambda s: score(s) > 0)
+    taken = F.filter(judged, lambda x: score(x) > 0)
+    return F.transform(taken, lambda x: F.struct(_kind(x["s"]["value"], x["v"]).alias("kind"), x["s"]["start"].alias("start"), x["s"]["end"].alias("end"), x["s"]["value"].alias("value"), x["s"]["before"].alias("before")))
 
 
-def with_spans(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
+def with_spans(docs: DataFrame, weights: Weights | None) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (kind, start, end, value, before)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     based = docs.withColumn("base", base_spans(text))
