@@ -47,7 +47,17 @@ def field_of(field: Column) -> Column:
 def from_inverted_index(index: Column) -> Column:
     """The text of {word: positions}; '' for null or empty."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    return F.coalesce(F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " "), F.lit(""))
+    return F.coalesce(F.array_join(F.transform(F.sort_array(pairs), lambda x: x["w"]), " "), F.lit(""))
+
+
+def inverted_index(text: Column) -> Column:
+    """F3 turned round: {word: positions} of a text split at single spaces, without leaving its row."""
+    placed = F.sort_array(F.transform(F.split(text, " "), lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
+    # One-element arrays hold what lambdas use more than once.
+    edges = lambda p: F.filter(F.sequence(F.lit(0), F.size(p)), lambda i: (i == 0) | (i == F.size(p)) | (F.get(p, i)["w"] != F.get(p, i - 1)["w"]))
+    entry = lambda p, e: lambda s, i: F.struct(F.get(p, s)["w"].alias("w"), F.transform(F.slice(p, s + 1, F.get(e, i + 1) - s), lambda x: x["p"]).alias("p"))
+    built = lambda p: F.transform(F.array(edges(p)), lambda e: F.map_from_entries(F.transform(F.slice(e, F.lit(1), F.size(e) - 1), entry(p, e))))[0]
+    return F.transform(F.array(placed), built)[0]
 
 
 def document_text(title: Column, abstract: Column, limit: int = 2000) -> Column:
@@ -110,8 +120,9 @@ def title_match(title: Column, text: Column, stop: Sequence[str] = TITLE_STOP) -
     """Share of the title's significant words found in the text; null where it has none."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(title), F.lit("[a-z0-9]+"), F.lit(0)))
     words = F.filter(words, lambda w: (F.length(w) > 3) & ~w.isin(*stop))
-    hay = F.lower(text)
-    return F.try_divide(F.size(F.filter(words, lambda w: F.contains(hay, w))).cast("double"), F.nullif(F.size(words), F.lit(0)))
+    # The text's lower case is an array's element, or the filter would make it again for every word.
+    found = F.transform(F.array(F.lower(text)), lambda hay: F.size(F.filter(words, lambda w: F.contains(hay, w))))
+    return F.try_divide(found[0].cast("double"), F.nullif(F.size(words), F.lit(0)))
 
 
 def estimate_tokens(chars: Column) -> Column:
@@ -260,6 +271,17 @@ def verified_by(source: Column, target: Column) -> Column:
     return F.concat_ws("+", F.when(source, "src"), F.when(target, "tgt"))
 
 
+def vector_text(vector: Column) -> Column:
+    """a vector as text, six decimals each, in brackets."""
+    return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: F.format_string("%.6f", x.cast("double"))), ","), F.lit("]"))
+
+
+def vector_of_text(text: Column) -> Column:
+    """the vector of such a text; empty brackets are an empty vector."""
+    inner = F.regexp_replace(text, r"^\s*\[|\]\s*$", "")
+    return F.when(F.trim(inner) == "", F.expr("cast(array() as array<double>)")).otherwise(F.transform(F.split(inner, ","), lambda x: F.trim(x).cast("double")))
+
+
 def strip_html(html: Column) -> Column:
     """F13's counterpart for web pages: scripts, styles and tags removed, white space collapsed."""
     bare = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")

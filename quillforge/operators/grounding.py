@@ -19,22 +19,36 @@ def ground(edges: DataFrame) -> DataFrame:
     return edges.withColumn("verified", source & target).withColumn("reason", verified_by(source, target))
 
 
+#: Characters of the anchor of a quote without an inner word.
+GRAM = 3
+
+
+def _grams(text: Column) -> Column:
+    """All distinct runs of 1 to GRAM characters."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    run = lambda own, n: F.transform(F.slice(own, F.lit(1), F.greatest(F.size(own) - (n - 1), F.lit(0))), lambda c, i: F.concat(c, *(F.get(own, i + k) for k in range(1, n))))
+    return F.array_distinct(F.flatten(F.transform(F.array(chars), lambda own: F.flatten(F.array(*(run(own, n) for n in range(1, GRAM + 1)))))))
+
+
 def containment(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     """(doc_id, item_id) of every quote that is a substring of a document.
 
     A quote's anchor is its longest inner word: white space on both sides within the quote, so that any text
-    with the quote has the anchor as a whole word too. Words of texts meet anchors in an equi-join,
-    and only those pairs are compared. Quotes without an inner word are compared to every text.
+    with the quote has the anchor as a whole word too. Quotes without an inner word have their last GRAM
+    characters as anchor, which any text with the quote has among its runs of characters. Anchors meet
+    those of texts in equi-joins, and only those pairs are compared; texts are only taken apart into
+    words (runs of characters) where a quote needs it, which a scalar subquery says.
     """
     words = F.split(F.col("quote"), r"[ \t\n\r]+")
     inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
     longest = F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
     told = quotes.select("item_id", F.col("text").alias("quote")).where("quote <> ''").withColumn("anchor", F.try_element_at(longest, F.lit(1))["w"])
-    anchored = told.where("anchor is not null")
-    wanted = anchored.select("anchor").distinct()
-    found = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"[ \t\n\r]+"))).alias("anchor")).join(wanted, "anchor")
-    pairs = found.join(anchored, "anchor").select("doc_id", "item_id", "quote")
-    kept = docs.select("doc_id", "text").join(pairs, "doc_id").where(F.contains("text", F.col("quote"))).select("doc_id", "item_id")
-    short = told.where("anchor is null").select("item_id", "quote")
-    rest = docs.select("doc_id", "text").join(short, F.contains(F.col("text"), F.col("quote"))).select("doc_id", "item_id")
-    return kept.union(rest).distinct()
+    kinds = ((told.where("anchor is not null"), F.array_distinct(F.split("text", r"[ \t\n\r]+"))), (told.where("anchor is null").withColumn("anchor", F.right("quote", F.lit(GRAM))), _grams(F.col("text"))))
+    met = []
+    for own, parts in kinds:
+        wanted = own.select("anchor").distinct()
+        some = own.agg(F.count("*")).scalar() > 0
+        found = docs.where(some).select("doc_id", F.explode(parts).alias("anchor")).join(wanted, "anchor")
+        met.append(found.join(own, "anchor").select("doc_id", "item_id", "quote"))
+    pairs = met[0].union(met[1])
+    return docs.select("doc_id", "text").join(pairs, "doc_id").where(F.contains("text", F.col("quote"))).select("doc_id", "item_id").distinct()

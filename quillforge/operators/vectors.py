@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of one clustering group; its distance matrix is in one task's memory.
-MOST_ROWS = 5000
+#: Rows of one clustering group; its distance matrix is in one task's memory (half a gigabyte).
+MOST_ROWS = 8000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -21,9 +21,9 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def cosine_top_k(vectors: DataFrame, query: list[float], k: int, least: float) -> DataFrame:
+def cosine_top_k(vectors: DataFrame, query: Column, k: int, least: float) -> DataFrame:
     """The ``k`` vectors (vec_id, embedding) nearest to ``query``, of these those of ``least`` or more."""
-    near = vectors.select("vec_id", F.round(cosine(F.col("embedding"), F.array(*map(F.lit, query))), 6).alias("cos"))
+    near = vectors.select("vec_id", "embedding", query.alias("_query")).select("vec_id", F.round(cosine(F.col("embedding"), F.col("_query")), 6).alias("cos"))
     return near.orderBy(F.desc("cos"), "vec_id").limit(k).where(F.col("cos") >= least)
 
 
@@ -45,24 +45,36 @@ def average_linkage(points: np.ndarray, cutoff: float) -> np.ndarray:
     """Cluster numbers (by first member) of rows under cosine distance.
 
     The two nearest clusters merge while they are nearer than ``cutoff``; the distance to a merged
-    cluster is the size-weighted mean of the distances to its parts.
+    cluster is the size-weighted mean of the distances to its parts. Merges are found along chains of nearest
+    neighbours, in time quadratic in the rows: two clusters that are each other's nearest merge
+    whatever happens elsewhere, and distances never fall from a merge to a later one above it.
     """
     n = len(points)
     unit = points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-300)
     gap = 1 - unit @ unit.T
     np.fill_diagonal(gap, np.inf)
-    size, owner = np.ones(n), np.arange(n)
-    while n > 1:
-        i, j = sorted(np.unravel_index(np.argmin(gap), gap.shape))
-        if not gap[i, j] < cutoff:
-            break
+    size, owner, alive = np.ones(n), np.arange(n), np.ones(n, bool)
+    chain: list[int] = []
+    for _ in range(n - 1):
+        if not chain:
+            chain.append(int(np.argmax(alive)))
+        while True:
+            last = chain[-1]
+            near = int(np.argmin(gap[last]))
+            if len(chain) > 1 and gap[last, chain[-2]] <= gap[last, near]:
+                break
+            chain.append(near)
+        i, j = sorted((chain.pop(), chain.pop()))
+        if gap[i, j] < cutoff:
+            owner[owner == owner[j]] = owner[i]
         merged = (size[i] * gap[i] + size[j] * gap[j]) / (size[i] + size[j])
         gap[i], gap[:, i] = merged, merged
         gap[i, i] = np.inf
         gap[j], gap[:, j] = np.inf, np.inf
         size[i] += size[j]
-        owner[owner == j] = i
-    return np.unique(owner, return_inverse=True)[1]
+        alive[j] = False
+    first = {}
+    return np.array([first.setdefault(o, len(first)) for o in owner.tolist()], int)
 
 
 def clusters(vectors: DataFrame, cutoff: float = 0.28, group: str = "concept") -> DataFrame:

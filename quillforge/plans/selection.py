@@ -118,8 +118,7 @@ select vec_id, cos from n where cos >= 0.1""")
 def q_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top 150 by cosine to one query vector, then the floor."""
     own = table(spark, sf_dir, "embeddings")
-    wanted = own.where("vec_id = 0").select("embedding").first()
-    return vectors.cosine_top_k(own, [float(x) for x in wanted.embedding], 150, 0.1)
+    return vectors.cosine_top_k(own, own.where("vec_id = 0").select("embedding").scalar(), 150, 0.1)
 
 
 @query("select label, unnest(generate_series(0, len(embedding) - 1))::INTEGER as dim, unnest(embedding)::DOUBLE as x from embeddings".join(["select label, dim, round(avg(x), 6) as mean from (", ") group by 1, 2"]))

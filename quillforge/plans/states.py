@@ -11,8 +11,8 @@ from quillforge.session import table
 
 
 def latest(spark: SparkSession, sf_dir: str):  # noqa: ANN201
-    """The fixed 'now' of time-based queries: the last event's time."""
-    return table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
+    """The fixed 'now' of time-based queries: the last event's time, as a scalar subquery."""
+    return table(spark, sf_dir, "events").agg(F.max("ts")).scalar()
 
 
 @query("select o_custkey, o_orderkey, o_totalprice from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1")

@@ -16,9 +16,8 @@ KEYED = "keyed as (select d.*, b.text as quote from documents d join benchmark b
 
 def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
-    n = items.count()
     quotes = items.select(F.col("item_id").alias("_item"), F.col("text").alias("quote"))
-    return table(spark, sf_dir, "documents").join(quotes, F.col("_item") == F.col("doc_id") % n).drop("_item")
+    return table(spark, sf_dir, "documents").withColumn("_item", F.col("doc_id") % items.agg(F.count("*")).scalar()).join(quotes, "_item").drop("_item")
 
 
 @query(f"""with {KEYED}, v as (select doc_id, contains(text, quote) and quote <> '' as src, contains(text, substring(text, 11, 30)) and substring(text, 11, 30) <> '' as tgt from keyed)
@@ -104,12 +103,9 @@ x as (select doc_id, len(ws)::INTEGER as n_words, len(list_distinct(ws))::INTEGE
 select doc_id, n_words, n_distinct, rebuilt from x""")
 def q_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word positions, and the text rebuilt from them."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
-    index = words.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at"))
-    maps = index.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("index"))
-    rebuilt = F.md5(X.from_inverted_index(F.col("index")))
+    own = table(spark, sf_dir, "documents").select("doc_id", X.inverted_index(F.col("text")).alias("index"))
     n = F.aggregate(F.map_values("index"), F.lit(0), lambda s, x: s + F.size(x))
-    return maps.select("doc_id", n.alias("n_words"), F.size("index").alias("n_distinct"), rebuilt.alias("rebuilt"))
+    return own.select("doc_id", n.alias("n_words"), F.size("index").alias("n_distinct"), F.md5(X.from_inverted_index(F.col("index"))).alias("rebuilt"))
 
 
 @query(r"""with n as (select doc_id, regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') || chr(10) as t from documents)
