@@ -49,3 +49,18 @@ def or_default(rows: DataFrame, default: DataFrame) -> DataFrame:
     """``rows``, or ``default`` where there are none."""
     some = rows.limit(1).select(F.lit(1).alias("_one"))
     return rows.unionByName(default.withColumn("_one", F.lit(1)).join(some, "_one", "left_anti").drop("_one"))
+
+
+def resolve_concept(matches: DataFrame, most: int = 5) -> DataFrame:
+    """(query, concept_id): the first of a search's ``most`` matches (query, pos, id), by its last path segment;
+    a query without a match (id null) ends the job."""
+    best = matches.groupBy("query").agg(F.min(F.when(F.col("id").isNotNull() & (F.col("pos") < most), F.struct("pos", "id"))).alias("m"))
+    none = F.raise_error(F.concat(F.lit("no concept matches "), F.col("query")))
+    return best.select("query", F.when(F.col("m").isNull(), none).otherwise(F.element_at(F.split("m.id", "/"), -1)).alias("concept_id"))
+
+
+def to_extract(papers: DataFrame, done: DataFrame, least: float = 0.5) -> DataFrame:
+    """Papers (id, concept, prompt_version, match, cited_by_count) that are not ``done`` under all three keys and
+    whose title match, unknown counting as none, is good enough; numbered, the most cited first, unknown counts last."""
+    left = papers.where(F.coalesce("match", F.lit(0.0)) >= least).join(done.select("id", "concept", "prompt_version").distinct(), ["id", "concept", "prompt_version"], "left_anti")
+    return left.withColumn("pos", F.row_number().over(Window.partitionBy("concept", "prompt_version").orderBy(F.desc_nulls_last("cited_by_count"), "id")))

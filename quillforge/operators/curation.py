@@ -24,19 +24,27 @@ def merge(nodes: DataFrame, edges: DataFrame, src: str, dst: str) -> tuple[DataF
 
     The span is that of all known years, null without one. An unknown node changes nothing.
     """
-    gone = nodes.where(F.col("node_id") == src).select(F.lit(dst).alias("node_id"), F.col("members").alias("_m"), F.col("definition_ids").alias("_d"))
-    known = nodes.where(F.col("node_id").isin(src, dst)).agg(F.count_distinct("node_id").alias("_n"))
-    if src == dst or known.first()[0] < 2:
-        return nodes, edges
-    late = lambda m: F.struct(F.coalesce(F.nullif(m["year"], F.lit(0)), F.lit(9999)).alias("k"), m.alias("m"))
-    joined = nodes.where(F.col("node_id") != src).join(gone, "node_id", "left")
-    members = F.when(F.col("_m").isNull(), F.col("members")).otherwise(F.transform(F.array_sort(F.transform(F.concat("members", "_m"), late)), lambda x: x["m"]))
-    ids = F.when(F.col("_d").isNull(), F.col("definition_ids")).otherwise(F.array_sort(F.array_union("definition_ids", "_d")))
+    # Whether both nodes are there is a scalar subquery: nothing runs before the result is asked for.
+    both = (nodes.where(F.col("node_id").isin(src, dst)).agg(F.count_distinct("node_id")).scalar() == 2) & F.lit(src != dst)
+    gone = nodes.where(F.col("node_id") == src).where(both).select(F.lit(dst).alias("node_id"), F.col("members").alias("_m"), F.col("definition_ids").alias("_d"))
+    late = lambda m, i: F.struct(F.coalesce(F.nullif(m["year"], F.lit(0)), F.lit(9999)).alias("k"), i.alias("i"), m.alias("m"))
+    joined = nodes.where((F.col("node_id") != src) | ~both).join(gone, "node_id", "left")
+    changed = F.col("_m").isNotNull()
+    members = F.when(changed, F.transform(F.array_sort(F.transform(F.concat("members", "_m"), late)), lambda x: x["m"])).otherwise(F.col("members"))
+    ids = F.when(F.col("_d").isNotNull(), F.array_sort(F.array_union("definition_ids", "_d"))).otherwise(F.col("definition_ids"))
     out = joined.withColumn("members", members).withColumn("definition_ids", ids)
     years = F.filter(F.transform("members", lambda m: F.nullif(m["year"], F.lit(0))), lambda y: y.isNotNull())
-    changed = F.col("_m").isNotNull()
     out = out.withColumn("year_start", F.when(changed, F.array_min(years)).otherwise(F.col("year_start"))).withColumn("year_end", F.when(changed, F.array_max(years)).otherwise(F.col("year_end")))
-    return out.select(nodes.columns), rewire(edges, src, dst)
+    return out.select(nodes.columns), edges.where(~both).unionByName(rewire(edges.where(both), src, dst))
+
+
+def merge_targets(nodes: DataFrame) -> DataFrame:
+    """(node_id, into, label): for each node, every other one of its outline that it may be merged into."""
+    other = nodes.select(F.col("node_id").alias("into"), "label")
+    # One outline's nodes, a few hundred: their pairs are what is asked for, kept in one array a node.
+    every = other.agg(F.array_sort(F.collect_list(F.struct("into", "label")))).scalar()
+    listed = nodes.select("node_id", every.alias("all")).select("node_id", F.explode(F.filter("all", lambda o: o["into"] != F.col("node_id"))).alias("o"))
+    return listed.select("node_id", "o.into", "o.label")
 
 
 def rename(nodes: DataFrame, node: str, label: str) -> DataFrame:

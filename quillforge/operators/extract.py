@@ -12,13 +12,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillforge.functions.text import cost_usd
 from quillforge.operators.grounding import holds
 
-#: Dollars per million tokens in and out, by size of model.
+#: Dollars per million tokens in and out, by size of model, and the size that prices unknown models.
+#: Hosted models' own names are no part of this engine: give them as rows of a table like this one.
 PRICES = (("large", 5.0, 25.0), ("medium", 3.0, 15.0), ("small", 1.0, 5.0))
+DEFAULT_MODEL = "medium"
 
 EXTRACTED = "doc_id long, defines_concept boolean, definition string, verbatim_quote string, section string, novelty_claims array<string>"
 Extractor = Callable[[pd.DataFrame, str], pd.DataFrame]
@@ -33,6 +36,23 @@ def rule_based(pdf: pd.DataFrame, concept: str) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": pdf.doc_id, "defines_concept": yes, "definition": quotes, "verbatim_quote": quotes, "section": "", "novelty_claims": [[] for _ in yes]})
 
 
+def priced(uses: DataFrame, prices: tuple[tuple[str, float, float], ...] = PRICES, default: str = DEFAULT_MODEL) -> DataFrame:
+    """``uses`` (model, tokens_in, tokens_out, ...) with their ``usd``; a model without a price has the default's."""
+    known = {model: (a, b) for model, a, b in prices}
+    rate = lambda i: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for m, p in known.items() for x in (m, p[i]))), F.col("model")), F.lit(known[default][i]))
+    return uses.withColumn("usd", cost_usd(F.col("tokens_in"), F.col("tokens_out"), rate(0), rate(1)))
+
+
+def in_order(answer: Column, width: int | None = None) -> Column:
+    """Vectors of an embedder's answer (array of index, embedding) in the order they were asked for; another
+    width than expected ends the job."""
+    vectors = F.transform(F.array_sort(F.transform(answer, lambda x: F.struct(x["index"].alias("index"), x["embedding"].alias("embedding")))), lambda x: x["embedding"])
+    if width is None:
+        return vectors
+    wrong = F.exists(vectors, lambda v: F.size(v) != width)
+    return F.when(wrong, F.raise_error(F.lit(f"an embedding has another width than {width}")).cast("array<array<double>>")).otherwise(vectors)
+
+
 def extract(docs: DataFrame, concept: str, extractor: Extractor = rule_based) -> DataFrame:
     """One row a document (doc_id, text), its quote checked against the whole text."""
 

@@ -190,15 +190,21 @@ def _keyed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.cite_keys(own.withColumn("base", X.key_base(X.ascii_key_of_ascii(name), F.col("y"), F.col("p_type"))), "base", ["p_partkey"])
 
 
-@query(f"with {BASES}, n as (select *, row_number() over (partition by base order by p_partkey)::INTEGER as n from bases) select p_partkey, base || case when n > 1 then chr(95 + n) else '' end as key from n")
+#: Keys given one after the other: the first of base, base a, base b, ... that no row before has.
+WALK = f"""{BASES.replace("bases as", "recursive bases as", 1)}, r as (select *, regexp_replace(base, '[a-z]+$', '') as stem, row_number() over (partition by regexp_replace(base, '[a-z]+$', '') order by p_partkey) as i, count(*) over (partition by base) as c from bases),
+walk as (select stem, i, p_partkey, base as key, [base] as taken from r where i = 1 union all
+  select stem, i, p_partkey, k, list_append(taken, k) from (select r.stem, r.i, r.p_partkey, w.taken, list_filter(list_transform(range(0, r.c + 30), lambda j: r.base || case when j = 0 then '' else chr((96 + j)::INTEGER) end), lambda x: not list_contains(w.taken, x))[1] as k
+    from walk w join r on r.stem = w.stem and r.i = w.i + 1))"""
+
+
+@query(f"with {WALK} select p_partkey, key from walk")
 def q_cite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citation keys, collisions lettered."""
     return _keyed_parts(spark, sf_dir).select("p_partkey", "key")
 
 
-@query(f"""with {BASES}, n as (select *, row_number() over (partition by base order by p_partkey)::INTEGER as n from bases)
-select p_partkey, '@article{{' || base || case when n > 1 then chr(95 + n) else '' end || ',' || chr(10) || '  title = {{' || replace(replace(p_type || ' & 5%', '&', '\\&'), '%', '\\%') || '}},' || chr(10) || '  author = {{' || p_name || '}},' || chr(10)
-|| coalesce('  year = {{' || y || '}},' || chr(10), '') || '}}' as entry from n""")
+@query(f"""with {WALK} select p_partkey, '@article{{' || key || ',' || chr(10) || '  title = {{' || replace(replace(p_type || ' & 5%', '&', '\\&'), '%', '\\%') || '}},' || chr(10) || '  author = {{' || p_name || '}},' || chr(10)
+|| coalesce('  year = {{' || y || '}},' || chr(10), '') || '}}' as entry from walk join bases using (p_partkey)""")
 def q_bibtex(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bibliography entries with TeX escapes."""
     return _keyed_parts(spark, sf_dir).select("p_partkey", export.bib_entry(F.col("key"), F.concat("p_type", F.lit(" & 5%")), F.col("y"), F.array("p_name")).alias("entry"))

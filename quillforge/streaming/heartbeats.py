@@ -71,9 +71,12 @@ def _watch(minutes: int):  # noqa: ANN202
     return run
 
 
-def stale_jobs(events: DataFrame, minutes: int = 10) -> DataFrame:
-    """Jobs without a heartbeat for ``minutes`` of event time; one that speaks again is watched anew."""
-    beats = events.withWatermark("at", "0 seconds").select("user_id", "at", F.unix_micros("at").alias("us"))
+def stale_jobs(events: DataFrame, minutes: int = 10, delay: str = "0 seconds") -> DataFrame:
+    """Jobs without a heartbeat for ``minutes`` of event time; one that speaks again is watched anew.
+
+    delay: how much later than others a heartbeat may come in and still count; it delays findings as much.
+    """
+    beats = events.withWatermark("at", delay).select("user_id", "at", F.unix_micros("at").alias("us"))
     return beats.groupBy("user_id").applyInPandasWithState(_watch(minutes), STALE, "seen long", "append", GroupStateTimeout.EventTimeTimeout)
 
 

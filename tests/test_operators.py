@@ -140,10 +140,26 @@ def test_spend_cap(spark):
     assert [(r.pos, r.spent) for r in kept.orderBy("pos").collect()] == [(0, 4), (1, 10), (2, 10), (3, 11)]
 
 
+def plain_keys(bases):
+    taken, out = set(), []
+    for name in bases:
+        key, i = name, 0
+        while key in taken:
+            i += 1
+            key = name + chr(96 + i)
+        taken.add(key)
+        out.append(key)
+    return out
+
+
 def test_cite_keys(spark):
-    rows = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x"), (4, "xa")], "pos long, base string")
-    got = {r.pos: (r.key, r.clash) for r in export.cite_keys(rows, "base", ["pos"]).collect()}
-    assert got == {1: ("x", False), 2: ("xa", True), 3: ("xb", False), 4: ("xa", True)}
+    """Keys of several sets of bases, with bases that are others' suffixed keys, against keys given one by one."""
+    rng = np.random.default_rng(9)
+    sets = [["x", "x", "x", "xa"], ["xa", "x", "x", "xaa", "x", "xa"], ["k1ab"] * 30 + ["k1a", "k1a", "k1", "k1ab"], *(list(rng.choice(["p", "pa", "pb", "paa", "q7", "q7a", "q7b", "z"], 40)) for _ in range(3))]
+    for bases in sets:
+        rows = spark.createDataFrame(list(enumerate(map(str, bases))), "pos long, base string").repartition(3)
+        got = {r.pos: r.key for r in export.cite_keys(rows, "base", ["pos"]).collect()}
+        assert [got[i] for i in range(len(bases))] == plain_keys(bases) and len(set(got.values())) == len(bases)
 
 
 def test_round_trip(spark):
@@ -208,7 +224,7 @@ def test_outline(spark):
     nodes, edges = nodes_and_edges(spark)
     keys = spark.createDataFrame([("a", "ka", 2001), ("b", "kb", None), ("c", "kc", 1999), ("d", "kd", 2000)], "paper string, key string, year int")
     named = edges.where("id = 1").withColumn("source_paper", F.lit("a")).withColumn("target_paper", F.lit("c"))
-    lines = [r.line for r in export.markdown(nodes, named, keys).orderBy("section", "pos").collect()]
+    lines = [r.line for r in export.markdown(nodes, named, keys).orderBy("section", "part", "pos").collect()]
     assert lines == [
         "## 1. two (1999)\n\\cite{kc}",
         "## 2. one (2000–2001)\n\\cite{ka}, \\cite{kb}",
@@ -228,3 +244,65 @@ def test_references_and_defaults(spark):
     assert [r.k for r in corpus.or_default(some.limit(0), other).collect()] == ["b"]
     text = spark.range(1).select(X.prompt(F.lit("nets"), F.lit("abc"), F.lit(""), 2).alias("p")).first().p
     assert text == "What does the following text say about nets?\n\nab"
+
+
+def test_fetching():
+    """Backoff, a service's own wish, what is not to be had, and spacing, by a transport and a clock of the test's."""
+    now, slept, asked = [0.0], [], []
+
+    def sleep(seconds):
+        slept.append(round(seconds, 3))
+        now[0] += seconds
+
+    def fetcher(*answers, **options):
+        left = list(answers)
+        return papers.Fetcher(lambda url: (asked.append(url), left.pop(0))[1], clock=lambda: now[0], sleep=sleep, **options)
+
+    a = papers.Answer
+    assert fetcher(a(503), a(429, headers={"Retry-After": "7"}), a(500), a(200, b"x")).get("u") == b"x" and slept == [2.0, 7.0, 8.0]
+    assert fetcher(a(403)).get("u") is None and fetcher(a(410)).get("u") is None
+    with pytest.raises(OSError, match="gave up after 2"):
+        fetcher(a(502), a(502), attempts=2).get("u")
+    with pytest.raises(OSError, match="status 400"):
+        fetcher(a(400)).get("u")
+    slept.clear()
+    spaced = fetcher(a(200, b"1"), a(200, b"2"), spacing=papers.SPACING["source"])
+    assert spaced.get("u") == b"1" and spaced.get("u") == b"2" and slept == [3.0]
+
+
+def test_files(spark, tmp_path):
+    rows = spark.createDataFrame([("cond-mat/1", bytearray(b"abc"), "gz"), ("2", bytearray(b"d"), "pdf")], "id string, content binary, ext string")
+    assert sorted(tuple(r) for r in papers.write_files(rows, f"{tmp_path}/raw").collect()) == [("2", "2.pdf", True), ("cond-mat/1", "cond-mat_1.gz", True)]
+    assert (tmp_path / "raw" / "cond-mat_1.gz").read_bytes() == b"abc" and len(list((tmp_path / "raw").iterdir())) == 2
+    assert not any(r.written for r in papers.write_files(rows, f"{tmp_path}/raw").collect())
+
+
+def test_file_sources(spark, tmp_path):
+    """Works and corpora from JSON, whole texts, labels, the envelope of a list."""
+    (tmp_path / "works.json").write_text('{"id": "W1", "display_name": "T", "referenced_works": ["W2"]}\n')
+    (tmp_path / "corpus.json").write_text('[{"arxiv_id": "1", "year": null}, {"arxiv_id": "2", "year": 2001}]')
+    (tmp_path / "a.txt").write_text("first\nsecond")
+    assert papers.read_works(spark, f"{tmp_path}/works.json").first().referenced_works == ["W2"]
+    assert [(r.arxiv_id, r.year) for r in papers.read_corpus(spark, f"{tmp_path}/corpus.json").collect()] == [("1", None), ("2", 2001)]
+    assert [(r.text, r["head"]) for r in papers.read_texts(spark, f"{tmp_path}/a.txt", 5).collect()] == [("first\nsecond", "first")]
+    labels = spark.createDataFrame([(1999, 2001, 3, 1), (None, None, 2, 7)], "low int, high int, n int, c int").select(X.default_label(F.col("low"), F.col("high"), F.col("n"), F.col("c")).alias("l")).collect()
+    assert [r.l for r in labels] == ["1999–2001 sense (3 papers)", "cluster 7"]
+    told = json.loads(export.envelope(spark.createDataFrame([(1, None)], "id long, note string"), AT).first().json)
+    assert told["rows"] == [{"id": 1, "note": None}] and told["now"].startswith("2024-05-01T12")
+    with pytest.raises(PySparkException, match="another width"):
+        spark.range(1).select(extract.in_order(F.array(F.struct(F.lit(0).alias("index"), F.array(F.lit(1.0)).alias("embedding"))), 2)).collect()
+    with pytest.raises(PySparkException, match="no concept matches x"):
+        corpus.resolve_concept(spark.createDataFrame([("x", 0, None)], "query string, pos int, id string")).collect()
+
+
+def test_staging_folder_is_deleted(spark):
+    from quillforge import staging
+
+    kept = staging.staged(spark.range(3), "rows")
+    assert kept.count() == 3
+    own = staging.own_dir(spark).removeprefix("file://").removeprefix("file:")
+    import os
+
+    assert os.path.isdir(own)
+    staging.drop_staged(spark)
+    assert not os.path.exists(own)
