@@ -1,7 +1,12 @@
 """From raw documents to token ids: quality, near-duplicates, benchmark passages, personal data, BPE.
 
 ``run`` applies STAGES in order; each result is written as Parquet to the shared folder and reread, so
-that every stage works on all that its predecessor kept and no lineage crosses stages.
+that every stage works on all that its predecessor kept and no plan crosses stages.
+
+Cases, for every stage but the last, which keeps three columns of its own: columns pass through, whatever
+their names; null and empty texts are left out by the first stage, as nothing tells their quality, and pass
+all others; very long texts are taken whole; repeated rows share their fate, also where they repeat a
+doc_id; a null doc_id is linked with nothing; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -27,8 +32,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that repeat a kept doc_id are one document and stay together.
     """
-    kept = neardup.near_duplicates(docs, SIMILAR).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left").where("_kept is not null or doc_id is null").drop("_kept")
+    name = "_" * (1 + max(map(len, docs.columns)))
+    gone = neardup.near_duplicates(docs, SIMILAR).where("doc_id is not null").groupBy(F.col("doc_id").alias(name)).agg(F.bool_or("kept").alias("kept")).where("not kept").select(name)
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
