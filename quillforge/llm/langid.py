@@ -6,13 +6,17 @@ HASHES slots gives the mask of all languages that contain it. A text's grams giv
 per language; each is corrected for that filter's false-positive rate (its share of set slots to the
 power HASHES), and the largest decides. The score is its share of the corrected counts.
 
-Fitting uses labelled rows, SAMPLE_ROWS at most (drawn by hash of doc_id, whole texts). A gram counts
-for a language from a share of LEAST_SHARE of its grams, and of at least TYPICAL of the share in
-the language that has it most; so at most 1 / LEAST_SHARE grams a language reach the driver.
+Fitting uses labelled rows, SAMPLE_ROWS at most (drawn by hash of doc_id, whole texts): all rows of rare
+languages, and as many of each other as leaves the total within the bound. A gram counts for a language
+if it comes LEAST_COUNT times or more, from a share of LEAST_SHARE of the language's grams, and of at least
+TYPICAL of the share in the language that has it most; so at most 1 / LEAST_SHARE grams a language reach the
+driver, for which a filter of 2**22 slots is enough.
 
 Cases: ``und`` with score 0 where the text is null or has no letter, or where nothing was learned;
 a text whose grams no filter has gets the most frequent language with score 0; the largest share wins,
-ties go to the more frequent language, then by name; rows without lang aren't learned from.
+ties go to the more frequent language, then by name; rows without lang aren't learned from; a null
+doc_id counts as held out in the query; very long texts are read whole; repeated rows have equal results;
+empty tables give no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -26,15 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillforge.llm import kernels as K
-from quillforge.llm.shared import bound_arrow
+from quillforge.llm.shared import bound_arrow, stage
 
 GRAMS = (3, 5)
 HASHES = 3
 SAMPLE_ROWS = 20_000
-LEAST_SHARE = 4e-6
+LEAST_SHARE, LEAST_COUNT = 4e-6, 2
 TYPICAL = 0.25
-#: Slots for each gram put in, and at most.
-SLOTS_PER_GRAM, MOST_SLOTS = 16, 1 << 24
+#: Slots for each gram put in.
+SLOTS_PER_GRAM = 16
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[65:91] = np.arange(97, 123)
@@ -97,7 +101,7 @@ class Filters:
     @classmethod
     def build(cls, languages: list[str], members: list[np.ndarray]) -> Filters:
         most = max((len(m) for m in members), default=1)
-        slots = min(MOST_SLOTS, 1 << int(np.ceil(np.log2(max(most, 1) * SLOTS_PER_GRAM))))
+        slots = 1 << int(np.ceil(np.log2(max(most, 1) * SLOTS_PER_GRAM)))
         planes = np.zeros((max(1, -(-len(languages) // 64)), slots), np.uint64)
         for i, own in enumerate(members):
             for at in cls._slots(own, slots):
@@ -153,17 +157,26 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
 
+def _draws(sizes: dict[str, int], most: int) -> dict[str, int]:
+    """How many rows of each language to learn from: the smallest whole, the others alike, ``most`` in all."""
+    out, left = {}, most
+    for i, lang in enumerate(sorted(sizes, key=lambda x: (sizes[x], x))):
+        out[lang] = min(sizes[lang], left // (len(sizes) - i))
+        left -= out[lang]
+    return out
+
+
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Filters:
     """Filters from ``labelled`` (doc_id, text, lang); sample_rows: bound on the rows learned from."""
     bound_arrow(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    total = rows.count()
-    if total > sample_rows:
-        share = int(2**32 * sample_rows / total)
-        rows = rows.where(F.expr(f"pmod(xxhash64(doc_id, 'language'), 4294967296) < {share}"))
-    counted = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    drawn = F.create_map(*(F.lit(x) for lang, n in _draws(sizes, sample_rows).items() for x in (lang, int(2**32 * n / sizes[lang])))) if sizes else F.lit(None).cast("map<string,bigint>")
+    rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(2**32)) < F.try_element_at(drawn, F.col("lang")))
+    counted = stage(rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     sums = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    shares = counted.join(F.broadcast(sums), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share"), "n", "total").where((F.col("share") >= LEAST_SHARE) & ((F.col("n") > 1) | (F.col("total") < 20_000)))
+    # One row a language, as many as in the labels' own count above.
+    shares = counted.where(F.col("n") >= LEAST_COUNT).join(F.broadcast(sums), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share")).where(F.col("share") >= LEAST_SHARE)
     top = shares.groupBy("gram").agg(F.max("share").alias("most"), F.collect_list(F.struct("lang", "share")).alias("own"))
     typical = top.select("gram", F.explode("own").alias("o"), "most").where(F.col("o.share") >= TYPICAL * F.col("most")).select("o.lang", "gram")
     frequent = [r.lang for r in sorted(sums.collect(), key=lambda r: (-r.total, r.lang))]

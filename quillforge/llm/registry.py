@@ -24,7 +24,7 @@ def op2_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bitmask_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True))
     found = langid.predict(docs, langid.fit(docs.where(~held_out)))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
