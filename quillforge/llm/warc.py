@@ -1,8 +1,8 @@
 """Not-modified revisits of web archives, resolved to the full responses they stand for.
 
 Method: an as-of join by canonical URL. Every revisit takes the latest earlier full response of its
-URL; its validators (ETag, else Last-Modified, else payload digest) must agree with the response's,
-and those of its headers that a 304 answer may update replace the response's.
+URL; the first of its validators (ETag, Last-Modified, payload digest) that the response has too must
+agree with the response's, and those of its headers that a 304 answer may update replace the response's.
 
 Scale: captures carry ids, validators and headers only, never bodies. Time is cut into slices of
 about SLICE_ROWS captures; a window runs within one URL and slice, so a URL that a third of all
@@ -10,8 +10,8 @@ captures share is spread over all slices. What a slice starts with is the last r
 slices before it: one row a URL and slice, joined back to revisits that found none in their own.
 
 Cases: a null URL or time matches nothing and stays unresolved; of responses at one time the one with
-the greatest id counts, one at the revisit's own time does not; a revisit without validators is
-``unchecked``; repeated rows each get their result; empty tables give none; other columns are not read.
+the greatest id counts, one at the revisit's own time does not; a revisit that shares no validator with
+the response is ``unchecked``; repeated rows each get their result; empty tables give none; other columns are not read.
 """
 
 from __future__ import annotations
@@ -73,19 +73,20 @@ def resolve(captures: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     within = Window.partitionBy("key", "slice").orderBy("ts", F.col("kind").desc(), "id").rowsBetween(Window.unboundedPreceding, 0)
     seen = timed.withColumn("near", F.last(response, ignorenulls=True).over(within)).where("kind = 'revisit'")
     last = timed.where("kind = 'response'").groupBy("key", "slice").agg(F.max(F.struct("ts", "id", "etag", "last_modified", "digest", "headers")).alias("last"))
-    every = timed.select("key", "slice").distinct().join(last, ["key", "slice"], "left")
-    before = every.withColumn("far", F.last("last", ignorenulls=True).over(Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))).select("key", "slice", "far").where("far is not null")
+    held = timed.select("key", "slice").distinct().join(last, ["key", "slice"], "left")
+    before = held.withColumn("far", F.last("last", ignorenulls=True).over(Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))).select("key", "slice", "far").where("far is not null")
     found = seen.join(before, ["key", "slice"], "left").withColumn("hit", F.coalesce("near", "far")).drop("near", "far", "slice")
     lost = own.where(~usable & (F.col("kind") == "revisit")).withColumn("hit", F.lit(None).cast(found.schema["hit"].dataType))
-    both = found.unionByName(lost)
+    every = found.unionByName(lost)
+    both_have = lambda c: F.col(c).isNotNull() & F.col(f"hit.{c}").isNotNull()
     agree = (
-        F.when(F.col("etag").isNotNull(), F.coalesce(_plain_tag(F.col("etag")) == _plain_tag(F.col("hit.etag")), F.lit(False)))
-        .when(F.col("last_modified").isNotNull(), F.coalesce(F.col("last_modified") == F.col("hit.last_modified"), F.lit(False)))
-        .when(F.col("digest").isNotNull(), F.coalesce(F.col("digest") == F.col("hit.digest"), F.lit(False)))
+        F.when(both_have("etag"), _plain_tag(F.col("etag")) == _plain_tag(F.col("hit.etag")))
+        .when(both_have("last_modified"), F.col("last_modified") == F.col("hit.last_modified"))
+        .when(both_have("digest"), F.col("digest") == F.col("hit.digest"))
     )
     status = F.when(F.col("hit").isNull(), "unresolved").when(agree.isNull(), "unchecked").when(agree, "resolved").otherwise("mismatch")
     parse = lambda c: F.from_json(c, "map<string,string>")
-    judged = both.withColumn("status", status)
+    judged = every.withColumn("status", status)
     return judged.select(
         "id",
         F.col("key").alias("canonical_url"),
