@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillforge.llm import kernels as K
-from quillforge.llm.shared import bound_arrow, frequent, salted_join, stage
+from quillforge.llm.shared import bound_arrow, frequent, let_go, salted_join, stage
 from quillforge.operators.graph import components
 
 WIDTH = 5
@@ -47,6 +47,8 @@ SKETCH = 512
 WHOLE = 1024
 #: Nodes of one side of a block of comparisons.
 BLOCK = 256
+#: Shingles of the word sets that a worker holds at once while it confirms pairs.
+HELD = 100_000
 #: The chance that a link's sketches differ too much for it.
 LOST = 1e-9
 SAMPLED = [f"m{i}" for i in range(SKETCH // 64)]
@@ -141,6 +143,7 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    let_go()
     for batch in batches:
         data, offsets = K.buffers(batch.column("text"))
         for first, last, part, at in K.chunks(data, offsets):
@@ -175,14 +178,27 @@ def word_set(text: str) -> set[tuple[bytes, ...]]:
     return set(zip(*(words[i:] for i in range(WIDTH)), strict=False)) if len(words) >= WIDTH else {tuple(words)} if words else set()
 
 
+class _Sets(dict):
+    """Word sets of a batch's texts by number, about HELD shingles of them at a time."""
+
+    def __init__(self, texts: pa.StringArray) -> None:
+        super().__init__()
+        self.texts, self.size = texts, 0
+
+    def __missing__(self, at: int) -> set[tuple[bytes, ...]]:
+        own = word_set(self.texts[at].as_py())
+        if self.size + len(own) > HELD:
+            self.clear()
+            self.size = 0
+        self[at] = own
+        self.size += len(own)
+        return own
+
+
 def _verify(percent: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = []
-            for name in ("ta", "tb"):
-                texts = batch.column(name).dictionary_encode()
-                sides.append((texts.indices.to_pylist(), [word_set(t) for t in texts.dictionary.to_pylist()]))
-            (ia, sa), (ib, sb) = sides
+            (ia, sa), (ib, sb) = ((texts.indices.to_pylist(), _Sets(texts.dictionary)) for texts in (batch.column(c).dictionary_encode() for c in ("ta", "tb")))
             keep = []
             for i, j in zip(ia, ib, strict=True):
                 x, y = sa[i], sb[j]
