@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillforge.llm import kernels as K
-from quillforge.llm.shared import bound_arrow, stage
+from quillforge.llm.shared import bound_arrow, kept, stage
 
 WINDOW = 10
 #: Item words of one automaton.
@@ -151,15 +151,10 @@ Block = tuple[str, list[tuple[str | None, str | None]]]
 class Matcher:
     """One block of items, ready to find its windows in batches of texts."""
 
-    _kept: dict[tuple[str, int], Matcher] = {}
-
     @classmethod
     def of(cls, block: Block, window: int) -> Matcher:
         """The block's matcher, which a worker builds once and keeps until it sees another block."""
-        key = (block[0], window)
-        if key not in cls._kept:
-            cls._kept = {key: cls(block[1], window)}
-        return cls._kept[key]
+        return kept(("matcher", block[0], window), lambda: cls(block[1], window))
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int) -> None:
         split = [(name, _WORD.findall((text or "").encode().lower())) for name, text in items]

@@ -4,15 +4,17 @@ Method: payloads (a text's bytes, padded with zeros to rows of WIDTH) are stored
 grey PNG images, the unpadded length in a text chunk, inside ZIP archives of ARCHIVE_BYTES or less in
 one directory. ``ArchiveSource`` plans partitions of RANGE_BYTES over the archives from their sizes
 alone; a reader takes the members whose headers begin in its range, by the archive's central
-directory, and streams them in Arrow batches. Each member is read, checked against its CRC and
-retried ATTEMPTS times on its own, by its offset; one that still fails is a row with its error.
+directory, and streams them in Arrow batches. A range's members are read at once and checked against
+their CRCs; one that is damaged, or all if that read fails, is read ATTEMPTS times on its own, by its
+offset; one that still fails is a row with its error. Beyond MOST_RANGES ranges they are longer instead.
 
 Recovery: an archive is put in place whole under a name fixed by its task, so a task that runs again
-replaces its own archives and nothing else. Files are reached through pyarrow's file systems (file,
+replaces its own archives, removes what an attempt before it has written beyond them, and touches nothing else. Files are reached through pyarrow's file systems (file,
 hdfs, s3, gs), so the directory must be one that driver and executors share.
 
-Cases: null is the empty text, stored as one row of zeros; equal texts give equal media; a null doc_id
-stays null; repeated rows are members of their own; an empty table leaves an empty directory.
+Cases: null is the empty text, stored as one row of zeros; very long texts are one member each; equal
+texts give equal media; a null doc_id stays null; repeated rows are members of their own; an empty table
+leaves an empty directory; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from quillforge.llm.shared import bound_arrow, fresh_path
 
 WIDTH = 64
 ARCHIVE_BYTES = 32 << 20
-RANGE_BYTES = 8 << 20
+RANGE_BYTES, MOST_RANGES = 8 << 20, 200_000
 BATCH_BYTES = 2 << 20
 ATTEMPTS = 4
 _MAGIC = b"\x89PNG\r\n\x1a\n"
@@ -125,6 +127,10 @@ def _write(directory: str):  # noqa: ANN202
                 if buffer.tell() >= ARCHIVE_BYTES:
                     close()
         close()
+        system, path = file_system(directory)
+        while system.get_file_info(old := f"{path}/part-{task:06d}-{made:05d}.zip").is_file:
+            system.delete_file(old)
+            made += 1
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], names=["archive", "members"])
 
     return run
@@ -153,7 +159,30 @@ class ArchiveReader(DataSourceReader):
     def partitions(self) -> list[ByteRange]:
         system, path = file_system(self.directory)
         found = [f for f in system.get_file_info(fs.FileSelector(path)) if f.is_file and f.extension == "zip" and not f.base_name.startswith("_")]
-        return [ByteRange(f.path, at, min(at + self.range_bytes, f.size)) for f in sorted(found, key=lambda f: f.path) for at in range(0, f.size, self.range_bytes)]
+        step = max(self.range_bytes, sum(f.size for f in found) // MOST_RANGES)
+        return [ByteRange(f.path, at, min(at + step, f.size)) for f in sorted(found, key=lambda f: f.path) for at in range(0, f.size, step)]
+
+    @staticmethod
+    def _at_once(own: pa.NativeFile, members: list[zipfile.ZipInfo]) -> dict[int, bytes]:
+        """The sound members by offset, from one read; none if it fails."""
+        if not members:
+            return {}
+        first, last = members[0].header_offset, members[-1]
+        try:
+            own.seek(first)
+            # The last member's local header is as long as its name and some extra fields.
+            whole = memoryview(own.read(last.header_offset - first + 30 + len(last.filename.encode()) + 4096 + last.compress_size))
+        except OSError:
+            return {}
+        out = {}
+        for info in members:
+            at = info.header_offset - first
+            if bytes(whole[at : at + 4]) == b"PK\3\4" and len(whole) >= at + 30:
+                start = at + 30 + sum(struct.unpack_from("<HH", whole, at + 26))
+                data = bytes(whole[start : start + info.compress_size])
+                if len(data) == info.compress_size and zlib.crc32(data) == info.CRC:
+                    out[info.header_offset] = data
+        return out
 
     def _member(self, system: fs.FileSystem, path: str, info: zipfile.ZipInfo) -> bytes:
         """One member's bytes, from its header's offset; a failed read is tried again from there."""
@@ -182,11 +211,12 @@ class ArchiveReader(DataSourceReader):
         system, _ = file_system(self.directory)
         with system.open_input_file(path) as own, zipfile.ZipFile(own) as archive:
             members = sorted((m for m in archive.infolist() if start <= m.header_offset < end), key=lambda m: m.header_offset)
+            sound = self._at_once(own, members)
         rows: list[tuple] = []
         size = 0
         for info in members:
             try:
-                data, error = self._member(system, path, info), None
+                data, error = sound.pop(info.header_offset, None) or self._member(system, path, info), None
             except OSError as e:
                 data, error = None, str(e)
             rows.append((path.rsplit("/", 1)[-1], info.header_offset, info.filename, data, error))

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillforge.llm import kernels as K
-from quillforge.llm.shared import bound_arrow, stage
+from quillforge.llm.shared import bound_arrow, let_go, stage
 
 BUCKETS = 1 << 16
 LABELS = 20_000
@@ -79,6 +79,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Feature counts of a partition: raw, and of good labels by fold."""
+    let_go()
     sums = np.zeros((3, BUCKETS), np.int64)
     for batch in batches:
         data, offsets = K.buffers(batch.column("text"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from quillforge.session import table
 from quillforge.staging import drop_staged, fresh_path
 from quillforge.staging import staged as stage
 
-__all__ = ["bound_arrow", "drop_staged", "fresh_path", "frequent", "salted_join", "stage", "table"]
+__all__ = ["bound_arrow", "drop_staged", "fresh_path", "frequent", "kept", "let_go", "salted_join", "stage", "table"]
 
 #: Rows of one Arrow batch handed to Python: bounds worker memory at this many texts.
 ARROW_ROWS = 512
@@ -22,6 +24,23 @@ FREQUENT = 1000
 WAYS = 16
 
 
+#: What a worker keeps between tasks: one thing at a time.
+_KEPT: dict[tuple, Any] = {}
+
+
+def kept(key: tuple, make: Callable[[], Any]) -> Any:
+    """The thing of this key that the worker has made before, or a new one; it takes the place of any other."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def let_go() -> None:
+    """Free what another operator's tasks have left in this worker."""
+    _KEPT.clear()
+
+
 def bound_arrow(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Keep Arrow batches small enough for long texts; a smaller setting of the session stays.
 

@@ -4,21 +4,23 @@ Method: a text's key is the digest of its normalised content with the digest of
 file. Keys are joined to a cache table of stored counts; only distinct misses are encoded, and their
 counts are appended to the cache as one new folder of Parquet files.
 
-Scale: texts meet their copies by a map-side combined aggregation on the key, so a text that a
-third of all rows repeat reaches the encoder once; counts return by a join that AQE may split.
-Appending is one committed write; two writers at worst store a key twice, which readers combine.
+Scale: keys alone are counted, map-side combined, and joined to the cache; texts move only where their
+key is missing. MANY missing keys or fewer are broadcast, so that a nearly full cache moves hardly a
+text; more are met by an aggregation on the key, map-side combined, so that a text that a third of all rows
+repeat reaches the encoder once. Counts of frequent keys (at most 1,000) return by broadcast, others by
+a join. Appending is one committed write; two writers at worst store a key twice, which readers combine.
 
 Encoding: byte-level BPE files without normaliser or template, whose vocabulary is also at hand as a
 rank file, are encoded from ranks, special strings split off as the library does; any other file
 by the library on whole texts. Tests hold both against the library.
 
-Cases: null counts as the empty text (0 tokens); equal texts share one cache row; special strings
-inside texts are single tokens; other columns are not read.
+Cases: null counts as the empty text (0 tokens); very long texts are encoded whole; equal texts, and
+repeated rows, share one cache row; special strings inside texts are single tokens; a null doc_id stays
+null; empty tables give no rows and leave the cache as it is; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import os
@@ -26,12 +28,13 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from quillforge.llm.shared import bound_arrow, fresh_path
+from quillforge.llm.shared import bound_arrow, frequent, fresh_path, kept, stage
 
+#: Missing keys that are broadcast: 32 bytes each.
+MANY = 100_000
 CACHE = "version string, digest binary, n_tokens long"
 
 
@@ -90,10 +93,9 @@ def library_counter(path: str) -> Callable[[str], int]:
     return lambda text: len(own.encode(text, add_special_tokens=False).ids)
 
 
-@functools.lru_cache(maxsize=2)
 def counter(path: str, pattern: str) -> Callable[[str], int]:
     """One a worker process and tokenizer file."""
-    return _by_ranks(path, pattern) or library_counter(path)
+    return kept(("counter", path, pattern), lambda: _by_ranks(path, pattern) or library_counter(path))
 
 
 def _encode(path: str, pattern: str):  # noqa: ANN202
@@ -117,15 +119,27 @@ def token_counts(docs: DataFrame, path: str, pattern: str, cache: str | None = N
     cache = cache or fresh_path(spark, "token-cache")
     version = tokenizer_version(path)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    try:
-        stored = spark.read.schema(CACHE).parquet(cache)
-    except AnalysisException:
-        stored = spark.createDataFrame([], CACHE)
-    known = stored.where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    misses = keyed.groupBy("digest").agg(F.first("text").alias("text")).join(known, "digest", "left_anti")
+    digest = F.unhex(F.sha2(text, 256)).alias("digest")
+    sized = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), digest), "digests")
+    copies = stage(sized.groupBy("digest").agg(F.count("*").alias("n")), "copies")
+    known = _stored(spark, cache, version)
+    missing = stage(copies.select("digest").join(known, "digest", "left_anti"), "missing")
+    keyed = docs.select(text.alias("text"), digest)
+    few = missing.limit(MANY + 1).count() <= MANY
+    keyed = keyed.join(F.broadcast(missing), "digest", "left_semi") if few else keyed
+    misses = keyed.groupBy("digest").agg(F.first("text").alias("text"))
+    misses = misses if few else misses.join(known, "digest", "left_anti")
     encoded = misses.select("digest", "text").mapInArrow(_encode(path, pattern), "digest binary, n_tokens long")
     encoded.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    counts = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    sized = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-    return sized.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
+    counts = _stored(spark, cache, version)
+    hot = F.broadcast(frequent(copies, sized.count()).select("digest").join(counts, "digest"))
+    rest = sized.join(hot, "digest", "left_anti").join(counts, "digest")
+    return sized.join(hot, "digest").unionByName(rest).select("doc_id", "n_bytes", "n_tokens")
+
+
+def _stored(spark: SparkSession, cache: str, version: str) -> DataFrame:
+    """(digest, n_tokens) of the cache; nothing where there is no such folder yet."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    stored = spark.read.schema(CACHE).parquet(cache) if there else spark.createDataFrame([], CACHE)
+    return stored.where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))

@@ -54,6 +54,14 @@ def test_states_are_bounded(library, monkeypatch):
     assert len(own.pieces) <= 51
 
 
+def test_one_long_piece_keeps_the_bound(library, monkeypatch):
+    monkeypatch.setattr(bpe, "STATES", 60)
+    own = bpe.Codec(PATH, P.PATTERN)
+    piece = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(5000))
+    assert np.frombuffer(own.encode(piece), "<u4").tolist() == library.encode_ordinary(piece)
+    assert len(own.transducer.states) <= 61
+
+
 def test_query(spark, tiny, library):
     docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "ab" * 30_000)], "doc_id long, text string"))
     got = {tuple(r) for r in bpe.digest(bpe.round_trip(docs, PATH, P.PATTERN)).collect()}

@@ -34,6 +34,16 @@ def test_language(spark, docs, tiny):
     none = langid.fit(docs.limit(0))
     assert {r.lang_pred for r in langid.predict(docs, none).collect()} == {"und"}
     assert langid.fit(docs, sample_rows=50).languages
+    assert {r.held_out for r in registry.op3_bitmask_filters(spark, tiny).collect()} == {True, False}
+
+
+def test_rare_languages_are_learned(spark):
+    """The bound draws all rows of rare languages, and of the others as many as it leaves."""
+    assert langid._draws({"a": 5, "b": 1000, "c": 300}, 205) == {"a": 5, "b": 100, "c": 100}
+    rows = [(i, f"the end of the day and the night of word{i}", "en") for i in range(600)] + [(1000 + i, f"zu dem ende der nacht und dem tag wort{i}", "de") for i in range(6)]
+    fitted = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=100)
+    probe = spark.createDataFrame([(1, "das ende der nacht und dem tag"), (2, "of the night and the day")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(probe, fitted).collect()} == {1: "de", 2: "en"}
 
 
 def test_filters_report_all_languages_of_a_gram():

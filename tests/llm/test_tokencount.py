@@ -28,6 +28,31 @@ def test_cache(spark, tiny, tmp_path):
     assert T.token_counts(docs.limit(0), PATH, P.PATTERN).count() == 0
 
 
+def test_hits_encode_nothing(spark, tiny, tmp_path, monkeypatch):
+    """A full cache answers without the tokenizer, by the query's own way; another version's counts are no hits."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    cache = f"file://{tmp_path}/cache"
+    first = sorted(map(tuple, T.token_counts(docs, PATH, P.PATTERN, cache).collect()))
+    stored = spark.read.parquet(cache).count()
+    monkeypatch.setattr(T, "_encode", lambda path, pattern: (lambda batches: (1 / 0 for b in batches if b.num_rows)))
+    assert sorted(map(tuple, T.token_counts(docs, PATH, P.PATTERN, cache).collect())) == first
+    assert spark.read.parquet(cache).count() == stored
+    monkeypatch.undo()
+    monkeypatch.setattr(T, "tokenizer_version", lambda path: "other")
+    assert sorted(map(tuple, T.token_counts(docs, PATH, P.PATTERN, cache).collect())) == first
+    assert spark.read.parquet(cache).count() == 2 * stored
+
+
+def test_many_misses_and_frequent_texts(spark, tiny, tmp_path, monkeypatch):
+    """Beyond MANY missing keys, and with a text that most rows repeat."""
+    monkeypatch.setattr(T, "MANY", 3)
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").union(spark.range(1000, 1400).selectExpr("id", "'the same text'")).union(spark.createDataFrame([(None, "x " * 90_000), (5000, "x " * 90_000)], "doc_id long, text string"))
+    want = sorted(((r.doc_id, len((r.text or "").encode()), SLOW(r.text or "")) for r in docs.collect()), key=str)
+    cache = f"file://{tmp_path}/cache"
+    for _ in range(2):
+        assert sorted(map(tuple, T.token_counts(docs, PATH, P.PATTERN, cache).collect()), key=str) == want
+
+
 def test_other_kinds_use_the_library(spark):
     docs = spark.createDataFrame([(1, "Hello wörld"), (2, None)], "doc_id long, text string")
     for name in ("word_bpe_49k.json", "piece_bpe_32k.model"):
