@@ -69,8 +69,9 @@ class Transducer:
     tokens of equal sets are one class, and states tell classes apart, not tokens.
     """
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
+    def __init__(self, ranks: dict[bytes, int], states: int | None = None) -> None:
         self.ranks = ranks
+        self.most = states or STATES
         self.size = max(ranks.values(), default=-1) + 1
         self.bytes_of: list[bytes] = [b""] * self.size
         for token, rank in ranks.items():
@@ -196,7 +197,7 @@ class Transducer:
         for byte in piece:
             arc = arcs[state].get(byte)
             if arc is None:
-                if len(self.states) >= STATES:
+                if len(self.states) >= self.most:
                     # Built anew from where the piece stands, so that one long piece keeps the bound too.
                     here = marshal.loads(self.states[state])
                     self.reset()
@@ -273,8 +274,8 @@ class Utf8Machine:
 class Codec:
     """Text to ids and back for one rank file and pattern."""
 
-    def __init__(self, path: str, pattern: str) -> None:
-        self.transducer = Transducer(load_ranks(path))
+    def __init__(self, path: str, pattern: str, states: int | None = None) -> None:
+        self.transducer = Transducer(load_ranks(path), states)
         self.pieces = _Pieces(self.transducer)
         # White space by Unicode's property, as in the library's engine.
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
@@ -290,14 +291,14 @@ class Codec:
         return "".join(out)
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, states: int | None = None) -> Codec:
     """One a worker process and rank file, until another operator needs the memory."""
-    return kept(("bpe", path, pattern), lambda: Codec(path, pattern))
+    return kept(("bpe", path, pattern, states), lambda: Codec(path, pattern, states))
 
 
-def _round_trip(path: str, pattern: str):  # noqa: ANN202
+def _round_trip(path: str, pattern: str, states: int | None):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = codec(path, pattern, states)
         for batch in batches:
             data, offsets = K.buffers(batch.column("text"))
             for first, last, part, at in K.chunks(data, offsets, 1 << 21):
@@ -309,11 +310,14 @@ def _round_trip(path: str, pattern: str):  # noqa: ANN202
     return run
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit integers) and decoded text of each row of ``docs``."""
+def round_trip(docs: DataFrame, path: str, pattern: str, states: int | None = None) -> DataFrame:
+    """doc_id, ids (little-endian unsigned 32-bit integers) and decoded text of each row of ``docs``.
+
+    states: how many a worker keeps, STATES by default; fewer take less memory and more time, results are the same.
+    """
     bound_arrow(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(_round_trip(path, pattern), "doc_id long, ids binary, decoded string")
+    return plain.mapInArrow(_round_trip(path, pattern, states), "doc_id long, ids binary, decoded string")
 
 
 def digest(coded: DataFrame) -> DataFrame:
