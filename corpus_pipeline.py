@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from quillforge.llm import bpe, decontaminate, neardup, pii, quality
 from quillforge.llm.shared import stage, table
 
+#: Transducer states of a worker: fewer than by default, as the stages before have left the executors less memory.
+STATES = 80_000
 #: Percent of shared five-word shingles from which documents are near-duplicates.
 SIMILAR = 80
 
@@ -49,7 +51,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token ids (little-endian unsigned 32-bit integers), their number and the decoded text."""
-    coded = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, STATES)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 
 
