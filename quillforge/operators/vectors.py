@@ -7,9 +7,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of one clustering group; its distance matrix is in one task's memory (half a gigabyte).
-MOST_ROWS = 8000
-
 
 def dot(a: Column, b: Column) -> Column:
     """Sum of products, in double precision, in index order."""
@@ -44,48 +41,60 @@ def representatives(vectors: DataFrame) -> DataFrame:
 def average_linkage(points: np.ndarray, cutoff: float) -> np.ndarray:
     """Cluster numbers (by first member) of rows under cosine distance.
 
-    The two nearest clusters merge while they are nearer than ``cutoff``; the distance to a merged
-    cluster is the size-weighted mean of the distances to its parts. Merges are found along chains of nearest
-    neighbours, in time quadratic in the rows: two clusters that are each other's nearest merge
-    whatever happens elsewhere, and distances never fall from a merge to a later one above it.
+    The two nearest clusters merge while they are nearer than ``cutoff``; the distance of two clusters
+    is the mean over their pairs of rows, which is 1 less the product of their mean unit vectors. So means and sizes
+    of clusters are all that is kept, and memory is linear in the rows. Merges are found along chains of nearest
+    neighbours, in time quadratic in the distinct rows: two clusters that are each other's nearest merge
+    whatever happens elsewhere, and distances never fall from a merge to a later one above it. So a cluster
+    whose nearest isn't nearer than ``cutoff`` is settled.
     """
-    n = len(points)
-    unit = points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-300)
-    gap = 1 - unit @ unit.T
-    np.fill_diagonal(gap, np.inf)
-    size, owner, alive = np.ones(n), np.arange(n), np.ones(n, bool)
+    unit = points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-300) + 0.0
+    owner, known = np.arange(len(unit)), {}
+    if cutoff > 0:  # copies are at distance 0, but for zero vectors, which are at 1 from all
+        owner = np.array([known.setdefault(u.tobytes(), i) if u.any() else i for i, u in enumerate(unit)], int)
+    own, size = np.unique(owner, return_counts=True)  # slots, in the order of clusters' first rows
+    mean, size = unit[own], size.astype(float)
+    bar = np.zeros(len(own))  # -inf for what is merged into others or settled
+    live = len(own)
     chain: list[int] = []
-    for _ in range(n - 1):
+    steps: list[float] = []  # from each of the chain to the next
+    while live > 1 or chain:
+        if 4 * live < 3 * len(own) and len(own) > 64:
+            keep = bar == 0
+            place = np.cumsum(keep) - 1
+            chain = place[chain].tolist()
+            own, size, mean, bar = own[keep], size[keep], mean[keep], bar[keep]
         if not chain:
-            chain.append(int(np.argmax(alive)))
-        while True:
-            last = chain[-1]
-            near = int(np.argmin(gap[last]))
-            if len(chain) > 1 and gap[last, chain[-2]] <= gap[last, near]:
-                break
+            chain.append(int(np.argmax(bar)))
+        last = chain[-1]
+        alike = mean @ mean[last]
+        alike += bar
+        alike[last] = -np.inf
+        near = int(np.argmax(alike))
+        gap = 1 - alike[near]
+        if steps and (steps[-1] <= gap or near in chain):  # in the chain already: a tie but for rounding
+            i, j = sorted((chain.pop(), chain.pop()))
+            del steps[-2:]
+            mean[i] = (size[i] * mean[i] + size[j] * mean[j]) / (size[i] + size[j])
+            size[i] += size[j]
+            owner[own[j]] = own[i]
+            bar[j] = -np.inf
+            live -= 1
+        elif gap < cutoff:
             chain.append(near)
-        i, j = sorted((chain.pop(), chain.pop()))
-        if gap[i, j] < cutoff:
-            owner[owner == owner[j]] = owner[i]
-        merged = (size[i] * gap[i] + size[j] * gap[j]) / (size[i] + size[j])
-        gap[i], gap[:, i] = merged, merged
-        gap[i, i] = np.inf
-        gap[j], gap[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        alive[j] = False
-    first = {}
-    return np.array([first.setdefault(o, len(first)) for o in owner.tolist()], int)
+            steps.append(gap)
+        else:
+            bar[chain.pop()] = -np.inf
+            live -= 1
+    for i, o in enumerate(owner.tolist()):  # owners come before what they own
+        owner[i] = owner[o]
+    return np.unique(owner, return_inverse=True)[1]
 
 
 def clusters(vectors: DataFrame, cutoff: float = 0.28, group: str = "concept") -> DataFrame:
-    """(group, vec_id, cluster) of vectors (group, vec_id, embedding), each group on its own.
-
-    A group is one concept's definitions, a few hundred; beyond MOST_ROWS the matrix is refused.
-    """
+    """(group, vec_id, cluster) of vectors (group, vec_id, embedding), each group, of any size, in one task."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MOST_ROWS:
-            raise ValueError(f"{len(pdf)} rows in one group; average linkage takes {MOST_ROWS}")
         pdf = pdf.sort_values("vec_id", ignore_index=True)
         made = average_linkage(np.array(pdf.embedding.tolist(), float), cutoff)
         return pd.DataFrame({group: pdf[group], "vec_id": pdf.vec_id, "cluster": made})

@@ -43,6 +43,24 @@ def test_average_linkage(n, seed, cutoff):
     assert (vectors.average_linkage(points, cutoff) == naive_linkage(points, cutoff)).all()
 
 
+def test_average_linkage_copies():
+    for seed in range(30):
+        rng = np.random.default_rng(seed)
+        points = rng.normal(size=(5, 3))[rng.integers(0, 5, 16)]
+        for cutoff in (0.3, 0.8):
+            assert (vectors.average_linkage(points, cutoff) == naive_linkage(points, cutoff)).all()
+    assert vectors.average_linkage(np.array([[0, 0], [1, 0], [0, 0], [2, 0]]), 0.5).tolist() == [0, 1, 2, 1]
+
+
+def test_clusters_of_a_large_group(spark):
+    """No number of rows is too many for a group, and copies weigh as many."""
+    points = np.random.default_rng(3).normal(size=(12, 4)).astype("float32").tolist()
+    which = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 12).cast("int")
+    rows = spark.range(9000).select(F.lit("a").alias("concept"), F.col("id").alias("vec_id"), F.element_at(F.lit(points), which + 1).alias("embedding"))
+    got = [r.cluster for r in vectors.clusters(rows, 0.6).orderBy("vec_id").collect()]
+    assert got == naive_linkage(np.array(points)[[0 if i % 3 == 0 else i % 12 for i in range(24)]], 0.6).tolist() * 375
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (70, 2))] + [(i, i + 1) for i in range(500, 560)] + [(7, 7)]
