@@ -24,6 +24,17 @@ def test_years_of_ids(apply, paper, year, old):
     assert apply(X.arxiv_year_2000s, paper) == old
 
 
+def test_vector_text(spark):
+    vectors = [[-0.0703125, 0.0078125, 0.0234375, 0.2578125], [1e22, -1e-9, 0.1234565, 8645915646.10156, float("inf")], [0.5, None, 1.0], [], None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "i int, v array<double>")
+    want = ["[-0.070312,0.007812,0.023438,0.257812]", "[10000000000000000000000.000000,-0.000000,0.123456,8645915646.101561,inf]", "[0.500000,1.000000]", "[]", None]
+    for kind in ("double", "float"):
+        own = rows if kind == "double" else rows.where("i <> 1").withColumn("v", F.col("v").cast("array<float>"))
+        got = {r.i: r.t for r in own.select("i", X.vector_text(F.col("v")).alias("t")).collect()}
+        assert got == {i: w for i, w in enumerate(want) if i in got} and len(got) >= 4
+    assert rows.where("i = 0").select(X.vector_of_text(X.vector_text(F.col("v")))).first()[0] == [-0.070312, 0.007812, 0.023438, 0.257812]
+
+
 def test_year_rules(apply):
     assert apply(X.earliest_year, "1706.03762", 2025) == 2017
     assert apply(X.earliest_year, "1706.03762", 0) == 2017
